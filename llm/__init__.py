@@ -1,0 +1,4 @@
+"""Operators for building training corpora.
+
+Nothing outside this folder imports it; ``__spark_entry__`` adds its queries only when it is there.
+"""

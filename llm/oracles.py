@@ -1,0 +1,31 @@
+"""DuckDB SQL for the queries that SQL can express."""
+
+from __future__ import annotations
+
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT source, source_size, source_size * 3.0::DOUBLE AS lim,
+         ((row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s
+), v AS (
+  SELECT a.source, a.source_size, a.lim, a.weight,
+         ((SELECT sum(source_size) FROM w) - coalesce(sum(b.lim), 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(b.weight), 0)) AS level
+  FROM w a LEFT JOIN w b ON b.lim / b.weight < a.lim / a.weight OR (b.lim / b.weight = a.lim / a.weight AND coalesce(b.source, chr(1114111)) < coalesce(a.source, chr(1114111)))
+  GROUP BY a.source, a.source_size, a.lim, a.weight
+), f AS (
+  SELECT coalesce(min_by(level, lim / weight) FILTER (level <= lim / weight), 0) AS final FROM v
+), t AS (
+  SELECT source, source_size, least(lim, final * weight) AS target,
+         CASE WHEN source_size > 0 THEN least(lim, final * weight) / source_size ELSE 0 END AS rate FROM v, f
+)
+SELECT doc_id, size, source_size, target,
+       size * (floor(rate) + (('0x' || substr(md5('42/' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::INT)::BIGINT AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_mix_sources": OP8,
+}
