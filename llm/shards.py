@@ -1,0 +1,83 @@
+"""Deterministic range shards of rows, and files written by tasks under temporary names."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Rows per shard that the cut points are drawn from; they only even out the shards.
+DRAWN = 64
+
+
+def cut_points(df: DataFrame, key: str, shards: int) -> list[int]:
+    """Sorted values of an integer key that split the rows into about equal shards, the same in every run."""
+    n = df.select(key).count()
+    if shards < 2 or n < 2:
+        return []
+    part = min(1.0, shards * DRAWN / n)
+    chosen = df.select(key).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(part * (1 << 40)))))
+    drawn = sorted(r[0] for r in chosen.distinct().toLocalIterator())
+    return sorted({drawn[i * len(drawn) // shards] for i in range(1, shards)}) if drawn else []
+
+
+def shard_of(key: Column, cuts: list[int]) -> Column:
+    """How many cut points are at or below the key, by halving; 0 for null."""
+    if not cuts:
+        return F.lit(0)
+    table = F.array(*(F.lit(c) for c in cuts)) if len(cuts) < 100 else F.lit(cuts)
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    found = F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), lambda at, s: F.when(F.coalesce(F.get(table, at + s - 1), F.lit((1 << 63) - 1)) <= key, at + s).otherwise(at))
+    return F.when(key.isNull(), F.lit(0)).otherwise(found)
+
+
+def sharded(df: DataFrame, key: str, shards: int, *ties: str) -> DataFrame:
+    """df with a column shard, each shard whole in one partition and sorted by key and ties, nulls first."""
+    out = df.withColumn("shard", shard_of(F.col(key), cut_points(df, key, shards)))
+    return out.repartition(shards, "shard").sortWithinPartitions("shard", F.col(key).asc_nulls_first(), *ties)
+
+
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """A file system that workers can write to, and the path in it."""
+    return fs.FileSystem.from_uri(path)
+
+
+class NewFile:
+    """Written under a temporary name in the target folder, moved to its own by commit(); a lost attempt leaves only that."""
+
+    def __init__(self, root: str, name: str):
+        self.store, base = open_store(root)
+        self.final, self.temporary = f"{base}/{name}", f"{base}/_temporary/{name}.{uuid.uuid4().hex}"
+        self.store.create_dir(f"{base}/_temporary", recursive=True)
+        self.out = self.store.open_output_stream(self.temporary, compression=None)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+
+    def commit(self) -> None:
+        self.out.close()
+        try:
+            self.store.move(self.temporary, self.final)
+        except OSError:
+            # some stores don't move onto an earlier attempt's file, which holds the same bytes
+            if self.store.get_file_info(self.final).type == fs.FileType.NotFound:
+                raise
+            self.store.delete_file(self.temporary)
+
+
+def commit_manifest(rows: DataFrame, root: str) -> DataFrame:
+    """Writes the rows, one per file, under a temporary name and moves them to manifest.json; returns them as read back.
+
+    Readers take only files that the manifest names, so that a folder without one holds nothing.
+    """
+    spark = rows.sparkSession
+    temporary, final = f"{root}/_temporary-{uuid.uuid4().hex}", f"{root}/manifest.json"
+    rows.write.json(temporary)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    hadoop = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not hadoop.rename(path(temporary), path(final)):
+        raise OSError(f"{final} can't be committed")
+    hadoop.delete(path(f"{root}/_temporary"), True)
+    return spark.read.schema(rows.schema).json(final)

@@ -1,0 +1,193 @@
+"""Deterministic sharded WARC writer and reader.
+
+Records are range-sorted by page_id; each shard rolls its files by compressed size; every record is a gzip member of its own with
+regenerated headers and digests.  Files are written under temporary names and moved, and a manifest names those that count.  The
+same rows give the same bytes, whichever executor writes them and however often.
+
+Of the pages with equal payloads of at least ``least`` bytes, that with the largest page_id is a response and the others revisit
+it; rows that repeat that page_id are responses too.  A null html is an empty payload, a null url a urn of the page; a null
+page_id sorts first and counts as smaller than all.  Payloads are written whole, whatever their length.
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .shards import NewFile, commit_manifest, open_store, sharded
+
+#: A file is closed at this many compressed bytes; records carry this date, so that bytes don't depend on the clock.
+ROLL_BYTES, DATE = 64 << 20, "2000-01-01T00:00:00Z"
+MANIFEST = "file string, shard int, part int, records long, bytes long, sha1 string"
+RECORDS = "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
+
+
+def _header(first: str, fields: list[tuple[str, object]]) -> bytes:
+    return "".join([f"{first}\r\n", *(f"{k}: {v}\r\n" for k, v in fields if v is not None), "\r\n"]).encode()
+
+
+def _member(data: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + z.compress(data) + z.flush() + zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
+
+
+def _uri(url: str | None, page_id: int | None) -> str:
+    if not url:
+        return f"urn:page:{page_id}"
+    return "".join(f"%{ord(c):02X}" if c < "!" or c == "\x7f" else c for c in url)
+
+
+def _id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page_id}/{digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+    """A response, or a revisit, which needs no payload but its size and digest."""
+    http = _header("HTTP/1.1 200 OK", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", size)])
+    block = http if revisit else http + payload
+    fields = [
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _id(page_id, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url, page_id)), ("X-Page-ID", page_id), ("X-Null-URL", 1 if url is None else None),
+        ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{_base32(hashlib.sha1(block).digest())}"),
+        ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None), ("WARC-Refers-To", _id(refers_to, digest) if revisit else None), ("X-Refers-To-Page-ID", refers_to if revisit else None),
+        ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block)),
+    ]
+    return _header("WARC/1.1", fields) + block + b"\r\n\r\n"
+
+
+def marked(pages: DataFrame, least: int = 0) -> DataFrame:
+    """(page_id, url, payload, size, digest, revisit, refers_to) for each page; a revisit's payload is null.
+
+    Only payloads that occur more than once are joined, one row for each; a payload with very many pages is split by AQE.
+    """
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
+    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
+    copies = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "largest")
+    out = rows.join(copies, F.col("digest") == F.col("_digest"), "left")
+    revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
+    out = out.withColumns({"revisit": revisit, "refers_to": F.when(revisit, F.col("largest"))})
+    return out.select("page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "size", "digest", "revisit", "refers_to")
+
+
+def write(pages: DataFrame, path: str, shards: int | None = None, roll_bytes: int = ROLL_BYTES, least: int = 0) -> DataFrame:
+    """Archives of all pages (page_id, url, html) under path; returns the manifest."""
+    shards = shards or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[dict] = []
+        state: dict = {}
+
+        def close() -> None:
+            if state:
+                state["out"].commit()
+                done.append({"file": state["file"], "shard": state["shard"], "part": state["part"], "records": state["records"], "bytes": state["bytes"], "sha1": state["sha1"].hexdigest()})
+
+        def put(data: bytes) -> None:
+            state["out"].write(data)
+            state["sha1"].update(data)
+            state["bytes"] += len(data)
+
+        def start(shard: int, part: int) -> None:
+            close()
+            name = f"pages-{shard:06d}-{part:05d}.warc.gz"
+            state.update(out=NewFile(path, name), file=name, shard=shard, part=part, records=0, bytes=0, sha1=hashlib.sha1())
+            info = b"software: deterministic sharded writer\r\nformat: WARC File Format 1.1\r\n"
+            put(_member(_header("WARC/1.1", [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", len(info))]) + info + b"\r\n\r\n"))
+
+        for batch in batches:
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            for i in range(batch.num_rows):
+                shard, page_id, url, payload, size, digest, revisit, refers_to = (c[i].as_py() for c in columns)
+                if not state or state["shard"] != shard:
+                    start(shard, 0)
+                elif state["bytes"] >= roll_bytes:
+                    start(shard, state["part"] + 1)
+                put(_member(record(page_id, url, payload, size, _base32(bytes.fromhex(digest)), refers_to, revisit)))
+                state["records"] += 1
+        close()
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
+
+    rows = sharded(marked(pages, least), "page_id", shards, "digest", "url").select("shard", "page_id", "url", "payload", "size", "digest", "revisit", "refers_to")
+    return commit_manifest(rows.mapInArrow(archive, MANIFEST), path)
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    return dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
+
+
+def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
+    """Each gzip member of a stream, decompressed."""
+    rest = b""
+    z, parts = zlib.decompressobj(31), []
+    while True:
+        if not rest:
+            rest = stream.read(chunk)
+            if not rest:
+                break
+        parts.append(z.decompress(rest))
+        rest = z.unused_data
+        if z.eof:
+            yield b"".join(parts)
+            z, parts = zlib.decompressobj(31), []
+    if any(parts):
+        raise ValueError("the archive ends within a record")
+
+
+def parse(data: bytes) -> dict | None:
+    """A record's page, its digest checked; None for other records."""
+    head, _, rest = data.partition(b"\r\n\r\n")
+    fields = _fields(head)
+    kind = fields["WARC-Type"]
+    if kind not in ("response", "revisit"):
+        return None
+    block = rest[: int(fields["Content-Length"])]
+    http, _, payload = block.partition(b"\r\n\r\n")
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if kind == "response" and _base32(hashlib.sha1(payload).digest()) != digest or f"sha1:{_base32(hashlib.sha1(block).digest())}" != fields["WARC-Block-Digest"]:
+        raise ValueError(f"digests of {fields['WARC-Record-ID']} don't match")
+    number = lambda k: int(fields[k]) if k in fields else None
+    return {
+        "page_id": number("X-Page-ID"), "url": None if "X-Null-URL" in fields else fields["WARC-Target-URI"], "html": payload.decode() if kind == "response" else None,
+        "payload_bytes": len(payload) if kind == "response" else int(_fields(http)["Content-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": number("X-Refers-To-Page-ID"),
+    }
+
+
+def read(spark: SparkSession, path: str, html: bool = True) -> DataFrame:
+    """The records of the archives that the manifest names; each file is read as a stream and checked against it."""
+    manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest.json")
+    kinds = [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    schema = pa.schema([k for k in kinds if html or k[0] != "html"])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(path)
+        for batch in batches:
+            for entry in batch.to_pylist():
+                rows, size, n = [], 0, 0
+                with store.open_input_stream(f"{base}/{entry['file']}", compression=None) as stream:
+                    for data in members(stream):
+                        if (row := parse(data)) is None:
+                            continue
+                        n += 1
+                        rows.append(row)
+                        size += len(data)
+                        if size > 4 << 20 or len(rows) >= 5000:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows, size = [], 0
+                if n != entry["records"]:
+                    raise ValueError(f"{entry['file']} has {n} records; the manifest says {entry['records']}")
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = RECORDS if html else RECORDS.replace("html string, ", "")
+    return manifest.select("file", "records").repartition(shards, "file").mapInArrow(load, wanted)
