@@ -26,6 +26,25 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
+OP10 = r"""
+WITH a AS (
+  SELECT DISTINCT doc_id, text FROM documents
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM a
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), s AS (
+  SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i WHERE len(w) >= 5)
+), n AS (
+  SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id
+), t AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
+)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM t JOIN s USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op8_mix_sources": OP8,
+    "op10_decontaminate": OP10,
 }

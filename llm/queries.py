@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, urlfilter, warc
+from . import decontaminate, jaccard, langid, mixing, quality, tokenfile, urlfilter, warc
 from .common import new_path
 
 
@@ -24,6 +25,22 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokenfile.encode_and_read(_documents(spark, sf_dir).select("doc_id", "text"), new_path(spark, "ids"), path)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality.judge(docs, model)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(_documents(spark, sf_dir).select("doc_id", "text"), k=4, percent=85)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.mix_plan(_documents(spark, sf_dir).select("doc_id", "source", "text"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -35,9 +52,17 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
+    "op4_token_ids": op4_token_ids,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,
+    "op10_decontaminate": op10_decontaminate,
 }

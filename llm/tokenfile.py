@@ -1,0 +1,354 @@
+"""Token ids in Re-Pair compressed files with random access.
+
+Texts are encoded with a public tokenizer of the tokenizers library, an end id is appended to each, and the ids are written in
+ascending doc_id order: range shards, a file for each, independent blocks of about ``BLOCK`` ids in a file.  A block holds a
+grammar: frequent pairs of neighbouring symbols are replaced by nonterminals, again and again, never across documents; stored are
+the rules, the expansion length of each, the symbols and where each document begins.  A reader decodes any document, or finds any
+id in it, without touching the others.
+
+A null or empty text is the end id alone.  Rows that repeat a doc_id follow each other in the order of their texts; a null doc_id
+comes first.  Texts are encoded whole, however long.  Other columns are ignored.
+
+Block layout, little-endian: ``RPB1``, uint32 documents, rules, symbols; int64 doc_ids; uint8 doc_id is null; uint64 ids of each
+document; uint64 first symbol of each document; uint16 rules (left, right); uint32 expansion lengths; uint16 symbols.  Symbols
+below ``BASE`` are ids, ``BASE + k`` is rule k.  A file is its blocks one after another, each with a uint64 length before it.
+"""
+
+from __future__ import annotations
+
+import json
+import zlib
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from .shards import NewFile, commit_manifest, open_store, sharded
+
+#: Ids in a block, first nonterminal, least occurrences in a block that make a pair frequent, pairs looked at in a round.
+BLOCK, BASE, FREQUENT, PAIRS = 1 << 20, 50_258, 512, 512
+#: Distinct pieces of text that a worker remembers.
+PIECES = 600_000
+MANIFEST = "file string, shard int, documents long, ids long, symbols long, bytes long, base long"
+#: Fixed value: how the byte-level tokenizer splits text before it merges; each piece is encoded by itself.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Numbered(dict):
+    """Numbers what it is asked for, from 0."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Encoder:
+    """Encodes texts with a tokenizer file; pieces that recur are looked up, new ones go to the tokenizer in batches.
+
+    Only texts of letters and signs that all Unicode versions agree on are split here; others go to the tokenizer whole, as do
+    texts with one of its special tokens, and all texts if it does not split as byte-level tokenizers do.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and (spec.get("post_processor") or {}).get("type") in (None, "ByteLevel")
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        self.split = regex.compile(SPLIT).findall if plain else None
+        self.word = regex.compile(r" \p{L}+").fullmatch
+        self.odd = regex.compile(r"[^\n\t\r\x20-\x7e\xa1-ɏ]").search
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = Numbered()
+        self.lengths, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces; words with a blank before them are encoded many at a time, as the tokenizer parts them again."""
+        lengths = np.zeros(len(new), np.int64)
+        order, ids = [], []
+        words = [i for i, x in enumerate(new) if self.word(x)]
+        for at in range(0, len(words), 500):
+            run = words[at : at + 500]
+            found = self.tokenizer.encode("".join([new[i] for i in run]), add_special_tokens=False)
+            n = np.bincount(found.word_ids, minlength=len(run))
+            if len(n) != len(run) or not n.all():
+                raise ValueError("the tokenizer does not split words as expected")
+            lengths[run] = n
+            order.extend(run)
+            ids.append(np.array(found.ids, np.uint16))
+        rest = [i for i, x in enumerate(new) if not self.word(x)]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
+            lengths[i] = len(x.ids)
+            order.append(i)
+            ids.append(np.array(x.ids, np.uint16))
+        starts = np.zeros(len(new), np.int64)
+        own = lengths[order]
+        starts[order] = len(self.ids) + np.cumsum(own) - own
+        self.lengths, self.starts = np.concatenate([self.lengths, lengths]), np.concatenate([self.starts, starts])
+        self.ids = np.concatenate([self.ids, *ids])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        whole, split = [], []
+        for i, text in enumerate(texts):
+            if not text:
+                out[i] = np.zeros(0, np.uint16)
+            elif self.split is None or self.odd(text) or any(s in text for s in self.special):
+                whole.append(i)
+            else:
+                split.append(i)
+        for i, x in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else (), strict=True):
+            out[i] = np.array(x.ids, np.uint16)
+        for at in range(0, len(split), 256):
+            part = split[at : at + 256]
+            if len(self.known) > PIECES:
+                self.clear()
+            known, first = self.known, len(self.known)
+            counts, places = [], []
+            for i in part:
+                pieces = self.split(texts[i])
+                counts.append(len(pieces))
+                places.append(np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)))
+            if len(known) > first:
+                self._learn(list(islice(reversed(known), len(known) - first))[::-1])
+            place = np.concatenate(places)
+            lengths = self.lengths[place]
+            total = np.cumsum(lengths)
+            n = int(total[-1]) if len(total) else 0
+            flat = self.ids[np.repeat(self.starts[place] - (total - lengths), lengths) + np.arange(n)]
+            ends = total[np.cumsum(counts) - 1]
+            for i, x in zip(part, np.split(flat, ends[:-1]), strict=True):
+                out[i] = x
+        return out
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process and tokenizer, so that tasks share what it remembers."""
+    return Encoder(path)
+
+
+def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (left, right), expansion lengths, symbols and the first symbol of each document, for ids of documents that begin at firsts.
+
+    Each round ranks the most frequent pairs, replaces every occurrence that outranks its neighbours, and keeps the rules that
+    were used often enough; it ends when no pair is frequent or all symbols of 16 bits are taken.
+    """
+    seq = ids.astype(np.uint16)
+    begins = np.zeros(len(seq) + 1, bool)
+    begins[firsts] = True
+    rules, lengths = [], np.ones(1 << 16, np.uint32)
+    used = BASE
+    while len(seq) > 1 and used < 1 << 16:
+        inside = ~begins[1 : len(seq)]
+        codes = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
+        ordered = np.sort(codes[inside])
+        if len(ordered) < frequent:
+            break
+        # a code that fills `frequent` places is at one of every `frequent`-th place
+        marks = np.unique(ordered[frequent - 1 :: frequent])
+        n = np.searchsorted(ordered, marks, "right") - np.searchsorted(ordered, marks, "left")
+        # such places can miss a run of fewer than 2 * frequent - 1, which is left for being just frequent
+        best = np.lexsort((marks, -n))
+        best = best[n[best] >= frequent][: min(PAIRS, (1 << 16) - used)]
+        if not len(best):
+            break
+        pairs = marks[best]
+        left, right = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
+        rows, row_of = np.unique(left, return_inverse=True)
+        columns, column_of = np.unique(right, return_inverse=True)
+        row_at, column_at = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        row_at[rows], column_at[columns] = np.arange(1, len(rows) + 1), np.arange(1, len(columns) + 1)
+        width = len(columns) + 1
+        table = np.full((len(rows) + 1) * width, PAIRS, np.int16)
+        table[(row_of + 1) * width + column_of + 1] = np.arange(len(pairs))
+        rank = np.full(len(seq) + 1, PAIRS, np.int16)  # one place before the first and one behind the last pair
+        rank[1:-1] = table[row_at[seq[:-1]] * np.int32(width) + column_at[seq[1:]]]
+        rank[1:-1][~inside] = PAIRS
+        own = rank[1:-1]
+        at = np.flatnonzero((own < PAIRS) & (own < rank[:-2]) & (own <= rank[2:]))
+        which = own[at]
+        times = np.bincount(which, minlength=len(pairs))
+        good = np.flatnonzero(times >= frequent // 2)
+        if not len(good):
+            break
+        name = np.zeros(len(pairs), np.uint16)
+        name[good] = np.arange(used, used + len(good))
+        taken = times[which] >= frequent // 2
+        at = at[taken]
+        seq[at] = name[which[taken]]
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq = seq[stay]
+        begins = np.append(begins[:-1][stay], True)
+        rules.append(np.stack([left[good], right[good]], 1).astype(np.uint16))
+        lengths[used : used + len(good)] = lengths[left[good]] + lengths[right[good]]
+        used += len(good)
+    rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
+    return rule, lengths[BASE:used], seq, np.flatnonzero(begins[: len(seq)])
+
+
+def expansions(rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols' expansions behind each other, with the start and length of each."""
+    size = np.ones(BASE + len(rules), np.int64)
+    size[BASE:] = lengths
+    start = np.cumsum(size) - size
+    flat = np.zeros(int(size.sum()), np.uint16)
+    flat[:BASE] = np.arange(BASE)
+    for k, (a, b) in enumerate(rules.tolist()):
+        at = start[BASE + k]
+        flat[at : at + size[a]] = flat[start[a] : start[a] + size[a]]
+        flat[at + size[a] : at + size[a] + size[b]] = flat[start[b] : start[b] + size[b]]
+    return flat, start, size
+
+
+class Block:
+    """A block of a file; decodes all of it, one document, or one id."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != b"RPB1":
+            raise ValueError("not a block of token ids")
+        n, r, s = np.frombuffer(data, "<u4", 3, 4).tolist()
+        at = 16
+        parts = []
+        for kind, k in (("<i8", n), ("u1", n), ("<u8", n), ("<u8", n), ("<u2", 2 * r), ("<u4", r), ("<u2", s)):
+            parts.append(np.frombuffer(data, kind, k, at))
+            at += parts[-1].nbytes
+        self.doc_ids, self.missing, self.counts, self.begins, rules, lengths, self.symbols = parts
+        self.flat, self.start, self.size = expansions(rules.reshape(-1, 2), lengths)
+
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        size = self.size[symbols]
+        total = np.cumsum(size)
+        return self.flat[np.repeat(self.start[symbols] - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
+
+    def _symbols(self, k: int) -> np.ndarray:
+        end = self.begins[k + 1] if k + 1 < len(self.begins) else len(self.symbols)
+        return self.symbols[int(self.begins[k]) : int(end)]
+
+    def document(self, k: int) -> np.ndarray:
+        return self._expand(self._symbols(k))
+
+    def token(self, k: int, i: int) -> int:
+        """Id i of document k: its symbol by the expansion lengths, then one expansion."""
+        symbols = self._symbols(k)
+        ends = np.cumsum(self.size[symbols])
+        j = int(np.searchsorted(ends, i, "right"))
+        return int(self.flat[self.start[symbols[j]] + i - (ends[j] - self.size[symbols[j]])])
+
+    def ids(self) -> np.ndarray:
+        return self._expand(self.symbols)
+
+
+def pack(doc_ids: list[int | None], encoded: list[np.ndarray]) -> tuple[bytes, int]:
+    """A block, and its number of symbols."""
+    counts = np.array([len(x) for x in encoded], np.uint64)
+    firsts = np.cumsum(counts).astype(np.int64) - counts.astype(np.int64)
+    rules, lengths, symbols, begins = repair(np.concatenate(encoded), firsts)
+    head = b"RPB1" + np.array([len(encoded), len(rules), len(symbols)], "<u4").tobytes()
+    parts = (np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is None for x in doc_ids], "u1"), counts, begins.astype("<u8"), rules, lengths.astype("<u4"), symbols)
+    return head + b"".join(x.tobytes() for x in parts), len(symbols)
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Files of all docs (doc_id, text) under path; returns the manifest, with the ids before each file."""
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer).encode
+        end = np.array([end_id], np.uint16)
+        done: list[dict] = []
+        now: dict = {}
+        doc_ids: list[int | None] = []
+        encoded: list[np.ndarray] = []
+
+        def flush() -> None:
+            if encoded:
+                data, symbols = pack(doc_ids, encoded)
+                now["out"].write(len(data).to_bytes(8, "little") + data)
+                now["row"]["documents"] += len(encoded)
+                now["row"]["ids"] += sum(map(len, encoded))
+                now["row"]["symbols"] += symbols
+                now["row"]["bytes"] += len(data) + 8
+                doc_ids.clear()
+                encoded.clear()
+
+        def close() -> None:
+            flush()
+            if now:
+                now["out"].commit()
+                done.append(now["row"])
+
+        size = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                shard, doc_id, text = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                for s, d, x in zip(shard, doc_id, encode(text), strict=True):
+                    if not now or now["row"]["shard"] != s:
+                        close()
+                        name = f"ids-{s:06d}.rpb"
+                        now.update(out=NewFile(path, name), row={"file": name, "shard": s, "documents": 0, "ids": 0, "symbols": 0, "bytes": 0, "base": 0})
+                        size = 0
+                    elif size >= block:
+                        flush()
+                        size = 0
+                    doc_ids.append(d)
+                    encoded.append(np.append(x, end))
+                    size += len(x) + 1
+        close()
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("shard", pa.int32()), *((k, pa.int64()) for k in ("documents", "ids", "symbols", "bytes", "base"))]))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    files = commit_manifest(sharded(rows, "doc_id", shards, "text").select("shard", "doc_id", "text").mapInArrow(store, MANIFEST), path)
+    # one row per file
+    return files.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+
+
+def blocks(stream) -> Iterator[Block]:
+    while size := stream.read(8):
+        yield Block(stream.read(int.from_bytes(size, "little")))
+
+
+def read(spark: SparkSession, path: str, manifest: DataFrame, ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each document, and its ids if wanted, from the files that the manifest names."""
+    kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if ids else [])]
+    schema = pa.schema(kinds)
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = open_store(path)
+        for batch in batches:
+            for entry in batch.to_pylist():
+                start, documents = entry["base"], 0
+                with files.open_input_stream(f"{base}/{entry['file']}", compression=None) as stream:
+                    for b in blocks(stream):
+                        flat = b.ids().astype("<u4")
+                        counts = b.counts.astype(np.int64)
+                        ends = np.cumsum(counts)
+                        data = memoryview(flat).cast("B")
+                        sums = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                        columns = [pa.array(b.doc_ids, mask=b.missing.astype(bool)), pa.array(start + ends - counts), pa.array(counts), pa.array(sums, pa.int64())]
+                        if ids:
+                            columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat.astype(np.int32))))
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                        start += int(ends[-1])
+                        documents += len(counts)
+                if documents != entry["documents"] or start - entry["base"] != entry["ids"]:
+                    raise ValueError(f"{entry['file']} does not hold what the manifest says")
+
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else "")
+    return manifest.select("file", "documents", "ids", "base").repartition(shards, "file").mapInArrow(load, wanted)
+
+
+def encode_and_read(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ids: bool = False) -> DataFrame:
+    """Writes the files and reads them back."""
+    return read(docs.sparkSession, path, write(docs, path, tokenizer, end_id), ids)

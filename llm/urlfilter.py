@@ -17,7 +17,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import let, lower_ascii
 
 #: n-gram lengths, hashed features, L2 penalty.
 GRAMS, FEATURES, PENALTY = (3, 4, 5), 1 << 13, 0.001
@@ -79,8 +79,10 @@ def grams(host: Column, path: Column) -> Column:
     """Feature numbers of the character n-grams of host and path, repeated as often as they occur; none for an empty host."""
 
     def of(text: Column, mark: str) -> Column:
-        parts = [F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i, k=k: F.pmod(F.xxhash64(F.lit(mark), F.substring(text, i, F.lit(k))), F.lit(FEATURES)).cast("int"))).otherwise(F.array().cast("array<int>")) for k in GRAMS]
-        return F.concat(*parts)
+        def parts(t: Column) -> Column:
+            return F.concat(*(F.when(F.length(t) >= k, F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i, k=k: F.pmod(F.xxhash64(F.lit(mark), F.substring(t, i, F.lit(k))), F.lit(FEATURES)).cast("int"))).otherwise(F.array().cast("array<int>")) for k in GRAMS))
+
+        return let(text, parts)
 
     return F.when(host == "", F.array().cast("array<int>")).otherwise(F.concat(of(F.concat(F.lit("^"), host, F.lit("$")), "host"), of(path, "path")))
 

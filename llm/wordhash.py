@@ -26,8 +26,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_BYTE[65:91] = _BYTE[97:123]
+_EXACT = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_FOLDED = _EXACT.copy()
+_FOLDED[65:91] = _FOLDED[97:123]
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -63,25 +64,29 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
-def words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice: first row; for each of its rows the number of words; hash, start and end (bytes in the slice) of each word."""
-    for row, at, data in _slices(texts):
-        inside = ~_SPACE[data]
+def words(texts: pa.Array, fold: bool = True, data: bool = False) -> Iterator[tuple]:
+    """For each slice: first row; for each of its rows the number of words; hash, start and end (bytes in the slice) of each word.
+
+    Words that differ in the case of ASCII letters have one hash if fold is set; the slice's bytes follow if data is set.
+    """
+    table = _FOLDED if fold else _EXACT
+    for row, at, raw in _slices(texts):
+        inside = ~_SPACE[raw]
         before = np.empty_like(inside)
         before[:1], before[1:] = False, inside[:-1]
-        edges = at[:-1][at[:-1] < len(data)]
+        edges = at[:-1][at[:-1] < len(raw)]
         before[edges] = False
         starts = np.flatnonzero(inside & ~before)
         after = np.empty_like(inside)
         after[-1:], after[:-1] = False, inside[1:]
         after[edges[edges > 0] - 1] = False
         ends = np.flatnonzero(inside & ~after) + 1
-        power, inverse = _power(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+        power, inverse = _power(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(table[raw] * power[: len(raw)], out=total[1:])
         hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
         counts = np.diff(np.searchsorted(starts, at))
-        yield row, counts, hashes, starts, ends
+        yield (row, counts, hashes, starts, ends, *((raw,) if data else ()))
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
