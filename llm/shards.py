@@ -33,9 +33,9 @@ def shard_of(key: Column, cuts: list[int]) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(found)
 
 
-def sharded(df: DataFrame, key: str, shards: int, *ties: str) -> DataFrame:
+def sharded(df: DataFrame, key: str, shards: int, *ties: Column | str, cuts: list[int] | None = None) -> DataFrame:
     """df with a column shard, each shard whole in one partition and sorted by key and ties, nulls first."""
-    out = df.withColumn("shard", shard_of(F.col(key), cut_points(df, key, shards)))
+    out = df.withColumn("shard", shard_of(F.col(key), cut_points(df, key, shards) if cuts is None else cuts))
     return out.repartition(shards, "shard").sortWithinPartitions("shard", F.col(key).asc_nulls_first(), *ties)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shards import NewFile, commit_manifest, open_store, sharded
+from .shards import NewFile, commit_manifest, cut_points, open_store, sharded
 
 #: A file is closed at this many compressed bytes; records carry this date, so that bytes don't depend on the clock.
 ROLL_BYTES, DATE = 64 << 20, "2000-01-01T00:00:00Z"
@@ -65,19 +65,23 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     return _header("WARC/1.1", fields) + block + b"\r\n\r\n"
 
 
-def marked(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, url, payload, size, digest, revisit, refers_to) for each page; a revisit's payload is null.
-
-    Only payloads that occur more than once are joined, one row for each; a payload with very many pages is split by AQE.
-    """
+def numbered(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, size, digest) for each page."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    copies = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "largest")
-    out = rows.join(copies, F.col("digest") == F.col("_digest"), "left")
-    revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
-    out = out.withColumns({"revisit": revisit, "refers_to": F.when(revisit, F.col("largest"))})
-    return out.select("page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "size", "digest", "revisit", "refers_to")
+    return rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
+
+
+def revisits(rows: DataFrame, least: int) -> DataFrame:
+    """(page_id, digest, refers_to) of the pages that revisit another.
+
+    Only digests take part, and only those that occur more than once are joined, one row for each; a payload with very many
+    pages is split by AQE.
+    """
+    thin = rows.where(F.col("size") >= least).select("page_id", "digest")
+    copies = thin.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "refers_to")
+    found = thin.join(copies, F.col("digest") == F.col("_digest")).where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return found.select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, shards: int | None = None, roll_bytes: int = ROLL_BYTES, least: int = 0) -> DataFrame:
@@ -105,21 +109,30 @@ def write(pages: DataFrame, path: str, shards: int | None = None, roll_bytes: in
             info = b"software: deterministic sharded writer\r\nformat: WARC File Format 1.1\r\n"
             put(_member(_header("WARC/1.1", [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", len(info))]) + info + b"\r\n\r\n"))
 
+        mark: tuple = ()
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns)]
             for i in range(batch.num_rows):
-                shard, page_id, url, payload, size, digest, revisit, refers_to = (c[i].as_py() for c in columns)
+                shard, page_id, digest, payload, url, size, refers_to = (c[i].as_py() for c in columns)
+                if payload is None:
+                    mark = (page_id, digest, refers_to)
+                    continue
                 if not state or state["shard"] != shard:
                     start(shard, 0)
                 elif state["bytes"] >= roll_bytes:
                     start(shard, state["part"] + 1)
-                put(_member(record(page_id, url, payload, size, _base32(bytes.fromhex(digest)), refers_to, revisit)))
+                revisit = mark[:2] == (page_id, digest)
+                put(_member(record(page_id, url, payload, size, _base32(bytes.fromhex(digest)), mark[2] if revisit else None, revisit)))
                 state["records"] += 1
         close()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())]))
 
-    rows = sharded(marked(pages, least), "page_id", shards, "digest", "url").select("shard", "page_id", "url", "payload", "size", "digest", "revisit", "refers_to")
-    return commit_manifest(rows.mapInArrow(archive, MANIFEST), path)
+    rows = numbered(pages)
+    # a revisit's mark sorts before its page, so that payloads are shuffled once
+    marks = revisits(rows, least).select("page_id", "digest", F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("string").alias("url"), F.lit(0).cast("long").alias("size"), "refers_to")
+    both = marks.unionByName(rows.withColumn("refers_to", F.lit(None).cast("long")))
+    dealt = sharded(both, "page_id", shards, F.col("digest"), F.col("payload").isNotNull(), F.col("url"), cuts=cut_points(pages, "page_id", shards))
+    return commit_manifest(dealt.select("shard", "page_id", "digest", "payload", "url", "size", "refers_to").mapInArrow(archive, MANIFEST), path)
 
 
 def _fields(head: bytes) -> dict[str, str]:
