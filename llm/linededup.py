@@ -1,0 +1,126 @@
+"""Fuzzy line dedup with DataFrame functions only.
+
+Lines, parted by ``\\n``, are normalised to lower-case letters and digits between single blanks, and equal ones counted together.
+Each distinct line has a SimHash of its words; lines whose SimHashes differ in at most ``BITS`` bits agree in one of ``BITS`` + 1
+blocks or, for more lines, in several of more blocks, and are joined on them.  Pairs are verified by edit similarity.  Of each
+connected group the first occurrence, by doc_id and line number, stays; the others go.
+
+Blocks that very many lines share are first joined with their most frequent line; after that only pairs of different groups are
+made, so that a crowd of near copies does not become all its pairs.
+
+Lines without a letter or digit are left alone.  Null and empty texts have nothing to drop.  Texts and lines are taken whole; of a
+line of over two million words the SimHash may carry between bits, which can cost a match, never make one.  Repeated rows of one
+doc_id and text share their occurrences, so that they keep and drop the same lines.  A null doc_id comes after all others.
+Columns that the operator adds replace columns of the same name.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, saved
+
+#: Bits that may differ, edit similarity, members above which a block is crowded, line ids up to which they go to every executor.
+BITS, SIMILAR, CROWDED, BROADCAST_IDS = 3, 0.8, 256, 1_000_000
+#: 63 bits are counted three to a long.
+LANE, TERMS = 21, 21
+MASK = 1 | 1 << LANE | 1 << 2 * LANE
+SPREAD = 1 | 1 << (LANE - 1) | 1 << 2 * (LANE - 1)
+
+
+def normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, line_no, normal) of each line with a letter or digit."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select("row", "doc_id", "line_no", normal(F.col("line")).alias("normal")).where("normal <> ''")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, id, id2, simhash) of each line; id and id2 are hashes of the normalised line."""
+    words = occurrences(docs).select("row", "doc_id", "line_no", F.xxhash64("normal").alias("id"), F.xxhash64("normal", F.lit(1)).alias("id2"), F.explode(F.split("normal", " ")).alias("word"))
+    hashed = words.withColumn("h", F.xxhash64("word")).drop("word")
+    three = lambda k: (F.shiftrightunsigned("h", 3 * k).bitwiseAND(F.lit(7)) * F.lit(SPREAD)).bitwiseAND(F.lit(MASK))
+    sums = hashed.groupBy("row", "doc_id", "line_no", "id", "id2").agg(F.count("*").alias("n"), *(F.sum(three(k)).alias(f"s{k}") for k in range(TERMS)))
+    bits = F.lit(0).cast("long")
+    for k in range(TERMS):
+        for j in range(3):
+            many = F.shiftrightunsigned(f"s{k}", LANE * j).bitwiseAND(F.lit((1 << LANE) - 1)) * 2 > F.col("n")
+            bits = bits.bitwiseOR(F.when(many, F.lit(1 << (3 * k + j))).otherwise(F.lit(0).cast("long")))
+    return sums.select("doc_id", "line_no", "id", "id2", bits.alias("simhash"))
+
+
+def block_keys(simhash: Column, lines: int) -> Column:
+    """The keys of which two SimHashes within BITS bits share one: single blocks, or combinations when lines are many."""
+    extra = 0 if lines <= 1 << 21 else 1 if lines <= 1 << 30 else 2
+    blocks = BITS + 1 + extra
+    cuts = [round(63 * i / blocks) for i in range(blocks + 1)]
+    part = [F.shiftrightunsigned(simhash, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(blocks)]
+
+    def choose(n: int, first: int) -> list[tuple[int, ...]]:
+        return [()] if n == 0 else [(i, *rest) for i in range(first, blocks) for rest in choose(n - 1, i + 1)]
+
+    keys = []
+    for number, chosen in enumerate(choose(1 + extra, 0)):
+        key, at = F.lit(0).cast("long"), 0
+        for i in chosen:
+            key = key.bitwiseOR(F.shiftleft(part[i], at))
+            at += cuts[i + 1] - cuts[i]
+        keys.append(F.shiftleft(key, 5).bitwiseOR(F.lit(number)))
+    return F.array(*keys)
+
+
+def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of line ids whose normalised lines have an edit similarity of SIMILAR or more."""
+    pairs = saved(pairs, "line-pairs")
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "line-ids")
+    few = wanted.count() <= BROADCAST_IDS
+    lines = occurrences(docs).select(F.xxhash64("normal").alias("id"), "normal")
+    texts = lines.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("normal").alias("normal"))
+    texts = saved(texts, "line-texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("normal").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("normal").alias("y")), "b")
+    longest, shortest = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
+    return both.where((shortest >= SIMILAR * longest) & (F.levenshtein("x", "y") <= (1 - SIMILAR) * longest)).select("a", "b")
+
+
+def groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of the line ids that are linked to another; lines has (id, simhash, n)."""
+    keyed = saved(lines.select("id", "simhash", "n", F.explode(block_keys(F.col("simhash"), lines.count())).alias("key")), "line-blocks")
+    near = F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash"))) <= BITS
+    crowds = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max(F.struct("n", "id", "simhash")).alias("top")).where(F.col("members") > CROWDED).select("key", F.col("top.id").alias("id"), F.col("top.simhash").alias("simhash"))
+    crowds = saved(crowds, "line-crowds")
+    links = None
+    placed = keyed.withColumn("component", F.col("id"))
+    if not crowds.isEmpty():
+        star = keyed.alias("y").join(crowds.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & near)
+        links = saved(similar(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), docs), "line-links")
+        placed = keyed.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    pairs = placed.alias("x").join(placed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & near)
+    rest = similar(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), docs)
+    return components(rest if links is None else links.unionByName(rest))
+
+
+def duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, group) of each line that goes; group is the id of a line in its connected group."""
+    found = saved(fingerprints(docs), "lines")
+    where = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
+    lines = saved(found.groupBy("id", "id2").agg(F.first("simhash").alias("simhash"), F.count("*").alias("n"), F.min(where).alias("first")), "distinct-lines")
+    linked = lines.join(groups(lines, docs), F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "id"))
+    linked = saved(linked.select("id", "id2", "n", "first", "group", F.col("component").isNotNull().alias("near")), "line-groups")
+    kept = linked.where("near").groupBy("group").agg(F.min("first").alias("kept"))
+    many = linked.where("near").drop("first").join(kept, "group").unionByName(linked.where("not near and n > 1").withColumnRenamed("first", "kept")).select(F.col("id").alias("_id"), F.col("id2").alias("_id2"), "group", "kept")
+    out = found.join(many, (F.col("id") == F.col("_id")) & (F.col("id2") == F.col("_id2")))
+    return out.where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line_no") == F.col("kept.line_no")))).select("doc_id", "line_no", "group").distinct()
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs with n_lines, dropped (numbers of the lines that go, from 0) and clean_text (null for a null text)."""
+    docs = docs.drop("n_lines", "dropped", "clean_text")
+    gone = saved(duplicates(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("dropped")), "dropped-lines").withColumnRenamed("doc_id", "_doc_id")
+    counted = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
+    out = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i))
+    return out.select(*docs.columns, "n_lines", "dropped", F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"))

@@ -2,6 +2,41 @@
 
 from __future__ import annotations
 
+from .licenses import KNOWN, PHRASES, SPELLINGS
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _replaced(x: str, pairs: tuple) -> str:
+    for a, b in pairs:
+        x = f"replace({x}, {_quoted(a)}, {_quoted(b)})"
+    return x
+
+
+OP3 = rf"""
+WITH known(license, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}),
+texts AS (
+  SELECT 1 AS kind, row_number() OVER () AS id, license, text FROM known UNION ALL SELECT 2, doc_id, NULL, text FROM documents
+), lines AS (
+  SELECT kind, id, license, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM texts
+), low AS (
+  SELECT kind, id, license, pos, {_replaced("lower(line)", SPELLINGS)} AS x FROM lines
+), canon AS (
+  SELECT kind, id, license, pos, CASE WHEN regexp_matches(x, '^[^\pL\pN]*(copyright|\(c\)|©|all rights reserved)') THEN ''
+         ELSE trim({_replaced(r"' ' || regexp_replace(x, '[^\pL\pN]+', ' ', 'g') || ' '", PHRASES)}) END AS c FROM low
+), whole AS (
+  SELECT kind, id, license, md5(string_agg(c, ' ' ORDER BY pos) FILTER (c <> '')) AS digest FROM canon GROUP BY kind, id, license
+), digests AS (
+  SELECT digest, min(license) AS license FROM whole WHERE kind = 1 GROUP BY digest
+), found AS (
+  SELECT id, list_sort(list(DISTINCT d.license)) AS line_licenses FROM canon JOIN digests d ON md5(c) = d.digest WHERE kind = 2 AND c <> '' GROUP BY id
+)
+SELECT w.id AS doc_id, w.digest, d.license, coalesce(f.line_licenses, []) AS line_licenses
+FROM whole w LEFT JOIN digests d USING (digest) LEFT JOIN found f ON w.id = f.id WHERE w.kind = 2
+"""
+
 OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -45,6 +80,7 @@ FROM t JOIN s USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": OP3,
     "op8_mix_sources": OP8,
     "op10_decontaminate": OP10,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, quality, tokenfile, urlfilter, warc
+from . import decontaminate, jaccard, langid, licenses, linededup, mixing, quality, tokenfile, urlfilter, warc
 from .common import new_path
 
 
@@ -25,6 +25,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "digest", "license", "line_licenses")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "dropped", F.md5("clean_text").alias("clean_md5"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return tokenfile.encode_and_read(_documents(spark, sf_dir).select("doc_id", "text"), new_path(spark, "ids"), path)
@@ -59,7 +67,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
+    "op3_license_scan": op3_license_scan,
     "op4_token_ids": op4_token_ids,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_mix_sources": op8_mix_sources,
