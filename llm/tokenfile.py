@@ -17,6 +17,7 @@ below ``BASE`` are ids, ``BASE + k`` is rule k.  A file is its blocks one after
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,7 @@ from .shards import NewFile, commit_manifest, open_store, sharded
 #: Ids in a block, first nonterminal, least occurrences in a block that make a pair frequent, pairs looked at in a round.
 BLOCK, BASE, FREQUENT, PAIRS = 1 << 20, 50_258, 512, 512
 #: Distinct pieces of text that a worker remembers.
-PIECES = 600_000
+PIECES = 1_500_000
 MANIFEST = "file string, shard int, documents long, ids long, symbols long, bytes long, base long"
 #: Fixed value: how the byte-level tokenizer splits text before it merges; each piece is encoded by itself.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,10 +49,34 @@ class Numbered(dict):
         return n
 
 
+class Table:
+    """Ids of numbered pieces of text, behind each other."""
+
+    def __init__(self):
+        self.known = Numbered()
+        self.lengths, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def add(self, found: list[np.ndarray], lengths: np.ndarray, order: list[int]) -> None:
+        """Ids of the next pieces, where found[i] has those of one or more pieces, all together in the given order."""
+        own = lengths[order]
+        starts = np.zeros(len(lengths), np.int64)
+        starts[order] = len(self.ids) + np.cumsum(own) - own
+        self.lengths, self.starts = np.concatenate([self.lengths, lengths]), np.concatenate([self.starts, starts])
+        self.ids = np.concatenate([self.ids, *found])
+
+    def look_up(self, place: np.ndarray, counts: list[int]) -> list[np.ndarray]:
+        lengths = self.lengths[place]
+        total = np.cumsum(lengths)
+        flat = self.ids[np.repeat(self.starts[place] - (total - lengths), lengths) + np.arange(int(total[-1]) if len(total) else 0)]
+        return np.split(flat, np.append(0, total)[np.cumsum(counts)][:-1])
+
+
 class Encoder:
-    """Encodes texts with a tokenizer file; pieces that recur are looked up, new ones go to the tokenizer in batches.
+    """Encodes texts with a tokenizer file; pieces that recur are looked up, new ones go to the tokenizer.
 
-    Only texts of letters and signs that all Unicode versions agree on are split here; others go to the tokenizer whole, as do
+    A byte-level tokenizer encodes each piece that ``SPLIT`` finds by itself.  Most texts are cut more cheaply, before each blank,
+    comma, stop and line end, where a piece always begins unless blanks or signs come together; texts with such places are split
+    by the pattern.  Texts with other than letters and signs that all Unicode versions agree on go to the tokenizer whole, as do
     texts with one of its special tokens, and all texts if it does not split as byte-level tokenizers do.
     """
 
@@ -60,22 +85,20 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
-        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and (spec.get("post_processor") or {}).get("type") in (None, "ByteLevel")
+        self.plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and (spec.get("post_processor") or {}).get("type") in (None, "ByteLevel")
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.split = regex.compile(SPLIT).findall if plain else None
-        self.word = regex.compile(r" \p{L}+").fullmatch
-        self.odd = regex.compile(r"[^\n\t\r\x20-\x7e\xa1-ɏ]").search
-        self.clear()
+        self.split = regex.compile(SPLIT).findall
+        self.odd = re.compile("[^\n\x20-\x7e\xa1-\u024f]").search
+        self.signs = re.compile("[!-/:-@\\[-`{-\xbf\xd7\xf7][.,]").search
+        self.units, self.pieces = Table(), Table()
 
-    def clear(self) -> None:
-        self.known = Numbered()
-        self.lengths, self.starts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
-
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, table: Table, new: list[str]) -> None:
         """Ids of new pieces; words with a blank before them are encoded many at a time, as the tokenizer parts them again."""
         lengths = np.zeros(len(new), np.int64)
-        order, ids = [], []
-        words = [i for i, x in enumerate(new) if self.word(x)]
+        order, ids, rest = [], [], []
+        words = []
+        for i, x in enumerate(new):
+            (words if x[:1] == " " and x[1:].isalpha() else rest).append(i)
         for at in range(0, len(words), 500):
             run = words[at : at + 500]
             found = self.tokenizer.encode("".join([new[i] for i in run]), add_special_tokens=False)
@@ -85,52 +108,54 @@ class Encoder:
             lengths[run] = n
             order.extend(run)
             ids.append(np.array(found.ids, np.uint16))
-        rest = [i for i, x in enumerate(new) if not self.word(x)]
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
             lengths[i] = len(x.ids)
             order.append(i)
             ids.append(np.array(x.ids, np.uint16))
-        starts = np.zeros(len(new), np.int64)
-        own = lengths[order]
-        starts[order] = len(self.ids) + np.cumsum(own) - own
-        self.lengths, self.starts = np.concatenate([self.lengths, lengths]), np.concatenate([self.starts, starts])
-        self.ids = np.concatenate([self.ids, *ids])
+        table.add(ids, lengths, order)
+
+    def _through(self, table: Table, cut: list[list[str]], text_of) -> list[np.ndarray]:
+        first = len(table.known)
+        number = table.known.__getitem__
+        place = np.concatenate([np.fromiter(map(number, x), np.int64, len(x)) for x in cut])
+        if len(table.known) > first:
+            self._learn(table, [text_of(x) for x in islice(reversed(table.known), len(table.known) - first)][::-1])
+        return table.look_up(place, [len(x) for x in cut])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        whole, split = [], []
+        whole, units, pieces = [], [], []
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, np.uint16)
-            elif self.split is None or self.odd(text) or any(s in text for s in self.special):
+            elif not self.plain or self.odd(text) or any(s in text for s in self.special):
                 whole.append(i)
             else:
-                split.append(i)
+                marked = "\x05" + text.replace(",", " \x02").replace(".", " \x03").replace("\n", " \x04")
+                if "  " in marked or "\n\n" in text or self.signs(text):
+                    pieces.append((i, self.split(text)))
+                else:
+                    units.append((i, marked.split(" ")))
         for i, x in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else (), strict=True):
             out[i] = np.array(x.ids, np.uint16)
-        for at in range(0, len(split), 256):
-            part = split[at : at + 256]
-            if len(self.known) > PIECES:
-                self.clear()
-            known, first = self.known, len(self.known)
-            counts, places = [], []
-            for i in part:
-                pieces = self.split(texts[i])
-                counts.append(len(pieces))
-                places.append(np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)))
-            if len(known) > first:
-                self._learn(list(islice(reversed(known), len(known) - first))[::-1])
-            place = np.concatenate(places)
-            lengths = self.lengths[place]
-            total = np.cumsum(lengths)
-            n = int(total[-1]) if len(total) else 0
-            flat = self.ids[np.repeat(self.starts[place] - (total - lengths), lengths) + np.arange(n)]
-            ends = total[np.cumsum(counts) - 1]
-            for i, x in zip(part, np.split(flat, ends[:-1]), strict=True):
-                out[i] = x
+        for name, cut, text_of in (("units", units, _unit_text), ("pieces", pieces, str)):
+            if len(getattr(self, name).known) > PIECES:
+                setattr(self, name, Table())
+            if cut:
+                for (i, _), x in zip(cut, self._through(getattr(self, name), [x for _, x in cut], text_of), strict=True):
+                    out[i] = x
         return out
 
 
+#: What stands at the head of a unit for the sign that it begins with; without one it begins with a blank.
+MARKS = {"\x02": ",", "\x03": ".", "\x04": "\n", "\x05": ""}
+
+
+def _unit_text(unit: str) -> str:
+    head = MARKS.get(unit[:1])
+    return f" {unit}" if head is None else head + unit[1:]
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One for each worker process and tokenizer, so that tasks share what it remembers."""
