@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .wordhash import shingles, words
 
 #: Documents of each label used for training, about; longest run of lines in a training sequence; steps; step size; L2 penalty.
@@ -174,7 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> t
     sizes = {r[0]: r[1] for r in labels.groupBy("quality").count().toLocalIterator()}
     share = F.least(F.lit(1.0), F.lit(float(documents)) / F.when(F.col("quality") == 1, sizes.get(1, 1)).otherwise(sizes.get(0, 1)))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    texts = docs.select("doc_id", "text").where("text is not null").join(chosen, "doc_id").select("doc_id", "text", "quality")
+    chosen = saved(chosen, "chosen")
+    if chosen.count() > 4 * documents + 100:  # twice what both labels come to
+        raise ValueError("the hash of doc_id does not spread the labelled documents")
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
