@@ -30,19 +30,24 @@ SPREAD = 1 | 1 << (LANE - 1) | 1 << 2 * (LANE - 1)
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    # signs up to U+00BF in one class, which is cheaper than asking for every character's kind
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-/:-@\[-`{-\u00BF\u2000-\u206F\u3000-\u303F]+", " "))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(row, doc_id, line_no, normal) of each line with a letter or digit."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("row", "doc_id", "line_no", normal(F.col("line")).alias("normal")).where("normal <> ''")
+    return rows.select("row", "doc_id", "line_no", F.explode(F.array(normal(F.col("line")))).alias("normal")).where("normal <> ''")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, id, id2, simhash) of each line; id and id2 are hashes of the normalised line."""
-    words = occurrences(docs).select("row", "doc_id", "line_no", F.xxhash64("normal").alias("id"), F.xxhash64("normal", F.lit(1)).alias("id2"), F.explode(F.split("normal", " ")).alias("word"))
-    hashed = words.withColumn("h", F.xxhash64("word")).drop("word")
+    """(doc_id, line_no, id, id2, simhash) of each line; id and id2 are hashes of the normalised line.
+
+    Features are the words of four letters or more, or all words of a line that has none: short words are common to all lines of
+    a language and would draw their SimHashes together.
+    """
+    lines = occurrences(docs).select("row", "doc_id", "line_no", F.xxhash64("normal").alias("id"), F.xxhash64("normal", F.lit(1)).alias("id2"), F.col("normal").rlike("[^ ]{4}").alias("long"), F.explode(F.split("normal", " ")).alias("word"))
+    hashed = lines.where(~F.col("long") | (F.length("word") >= 4)).withColumn("h", F.xxhash64("word")).drop("word", "long")
     three = lambda k: (F.shiftrightunsigned("h", 3 * k).bitwiseAND(F.lit(7)) * F.lit(SPREAD)).bitwiseAND(F.lit(MASK))
     sums = hashed.groupBy("row", "doc_id", "line_no", "id", "id2").agg(F.count("*").alias("n"), *(F.sum(three(k)).alias(f"s{k}") for k in range(TERMS)))
     bits = F.lit(0).cast("long")
@@ -73,21 +78,28 @@ def block_keys(simhash: Column, lines: int) -> Column:
     return F.array(*keys)
 
 
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line ids whose normalised lines have an edit similarity of SIMILAR or more."""
+def similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of line ids whose normalised lines have an edit similarity of SIMILAR or more.
+
+    Texts come from the documents of the lines' first occurrences; those documents alone are read line by line.
+    """
     pairs = saved(pairs, "line-pairs")
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "line-ids")
+    wanted = lines.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    wanted = saved(wanted.select("id", F.col("first.doc_id").alias("_doc_id"), F.col("first.line_no").alias("_line_no")), "line-ids")
     few = wanted.count() <= BROADCAST_IDS
-    lines = occurrences(docs).select(F.xxhash64("normal").alias("id"), "normal")
-    texts = lines.join(F.broadcast(wanted) if few else wanted, F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("normal").alias("normal"))
-    texts = saved(texts, "line-texts")
+    hint = F.broadcast if few else (lambda df: df)
+    own = docs.join(hint(wanted.select("_doc_id").distinct()), F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi")
+    texts = occurrences(own).join(hint(wanted), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("line_no") == F.col("_line_no"))).where(F.xxhash64("normal") == F.col("id"))
+    texts = saved(texts.select("id", "normal").dropDuplicates(["id"]), "line-texts")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("normal").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("normal").alias("y")), "b")
     longest, shortest = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
-    return both.where((shortest >= SIMILAR * longest) & (F.levenshtein("x", "y") <= (1 - SIMILAR) * longest)).select("a", "b")
+    most = F.floor(longest * (1 - SIMILAR) + 1e-9).cast("int")
+    found = both.where(shortest >= longest - most).withColumn("edits", F.call_function("levenshtein", F.col("x"), F.col("y"), most))
+    return found.where("edits >= 0").select("a", "b")
 
 
 def groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of the line ids that are linked to another; lines has (id, simhash, n)."""
+    """(node, component) of the line ids that are linked to another; lines has (id, simhash, n, first)."""
     keyed = saved(lines.select("id", "simhash", "n", F.explode(block_keys(F.col("simhash"), lines.count())).alias("key")), "line-blocks")
     near = F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash"))) <= BITS
     crowds = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max(F.struct("n", "id", "simhash")).alias("top")).where(F.col("members") > CROWDED).select("key", F.col("top.id").alias("id"), F.col("top.simhash").alias("simhash"))
@@ -96,10 +108,10 @@ def groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     placed = keyed.withColumn("component", F.col("id"))
     if not crowds.isEmpty():
         star = keyed.alias("y").join(crowds.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & near)
-        links = saved(similar(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), docs), "line-links")
+        links = saved(similar(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), lines, docs), "line-links")
         placed = keyed.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     pairs = placed.alias("x").join(placed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & near)
-    rest = similar(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), docs)
+    rest = similar(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), lines, docs)
     return components(rest if links is None else links.unionByName(rest))
 
 
