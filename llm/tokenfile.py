@@ -32,9 +32,11 @@ from tokenizers import Tokenizer
 
 from .shards import NewFile, commit_manifest, open_store, sharded
 
-#: Ids in a block, first nonterminal, least occurrences in a block that make a pair frequent, pairs looked at in a round.
-BLOCK, BASE, FREQUENT, PAIRS = 1 << 20, 50_258, 512, 512
-#: Distinct pieces of text that a worker remembers.
+#: Ids in a block, first nonterminal, pairs looked at in a round.
+BLOCK, BASE, PAIRS = 1 << 20, 50_258, 512
+#: A pair is frequent with this share of a block's ids, as a power of two, and this many occurrences at least.
+SHARE, LEAST = 11, 16
+#: Distinct pieces of text that a worker remembers, at about 200 bytes each.
 PIECES = 1_500_000
 MANIFEST = "file string, shard int, documents long, ids long, symbols long, bytes long, base long"
 #: Fixed value: how the byte-level tokenizer splits text before it merges; each piece is encoded by itself.
@@ -80,7 +82,8 @@ class Encoder:
     texts with one of its special tokens, and all texts if it does not split as byte-level tokenizers do.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = PIECES):
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -139,7 +142,7 @@ class Encoder:
         for i, x in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False) if whole else (), strict=True):
             out[i] = np.array(x.ids, np.uint16)
         for name, cut, text_of in (("units", units, _unit_text), ("pieces", pieces, str)):
-            if len(getattr(self, name).known) > PIECES:
+            if len(getattr(self, name).known) > self.most:
                 setattr(self, name, Table())
             if cut:
                 for (i, _), x in zip(cut, self._through(getattr(self, name), [x for _, x in cut], text_of), strict=True):
@@ -156,18 +159,19 @@ def _unit_text(unit: str) -> str:
     return f" {unit}" if head is None else head + unit[1:]
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
+@lru_cache(1)
+def encoder(path: str, most: int) -> Encoder:
     """One for each worker process and tokenizer, so that tasks share what it remembers."""
-    return Encoder(path)
+    return Encoder(path, most)
 
 
-def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), expansion lengths, symbols and the first symbol of each document, for ids of documents that begin at firsts.
 
     Each round ranks the most frequent pairs, replaces every occurrence that outranks its neighbours, and keeps the rules that
     were used often enough; it ends when no pair is frequent or all symbols of 16 bits are taken.
     """
+    frequent = frequent or max(LEAST, len(ids) >> SHARE)
     seq = ids.astype(np.uint16)
     begins = np.zeros(len(seq) + 1, bool)
     begins[firsts] = True
@@ -200,7 +204,12 @@ def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int = FREQUENT) -> tup
         rank[1:-1] = table[row_at[seq[:-1]] * np.int32(width) + column_at[seq[1:]]]
         rank[1:-1][~inside] = PAIRS
         own = rank[1:-1]
-        at = np.flatnonzero((own < PAIRS) & (own < rank[:-2]) & (own <= rank[2:]))
+        chosen = (own < PAIRS) & (own <= rank[:-2]) & (own <= rank[2:])
+        if ((own[1:] == own[:-1]) & chosen[1:]).any():  # of a pair that overlaps itself, every other place
+            here = np.arange(len(own))
+            begun = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), here, 0))
+            chosen &= (here - begun) % 2 == 0
+        at = np.flatnonzero(chosen)
         which = own[at]
         times = np.bincount(which, minlength=len(pairs))
         good = np.flatnonzero(times >= frequent // 2)
@@ -284,12 +293,12 @@ def pack(doc_ids: list[int | None], encoded: list[np.ndarray]) -> tuple[bytes, i
     return head + b"".join(x.tobytes() for x in parts), len(symbols)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: int | None = None, block: int = BLOCK) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: int | None = None, block: int = BLOCK, pieces: int = PIECES) -> DataFrame:
     """Files of all docs (doc_id, text) under path; returns the manifest, with the ids before each file."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, pieces).encode
         end = np.array([end_id], np.uint16)
         done: list[dict] = []
         now: dict = {}
@@ -374,6 +383,6 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, ids: bool = False)
     return manifest.select("file", "documents", "ids", "base").repartition(shards, "file").mapInArrow(load, wanted)
 
 
-def encode_and_read(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ids: bool = False) -> DataFrame:
+def encode_and_read(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, ids: bool = False, pieces: int = PIECES) -> DataFrame:
     """Writes the files and reads them back."""
-    return read(docs.sparkSession, path, write(docs, path, tokenizer, end_id), ids)
+    return read(docs.sparkSession, path, write(docs, path, tokenizer, end_id, pieces=pieces), ids)
