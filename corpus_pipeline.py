@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from llm import decontaminate, jaccard, langid, mixing, tokenfile
 from llm.common import new_path
 
+#: Workers of earlier stages stay, so that each may remember fewer pieces of text than where the last stage is alone.
+PIECES = 200_000
+
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
@@ -34,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokenfile.encode_and_read(docs, new_path(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.encode_and_read(docs, new_path(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"), pieces=PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
