@@ -415,3 +415,68 @@ SELECT s1_id, target_id, round(score, 6) AS score, score >= 0.45 AS predicted FR
   UNION ALL SELECT 'missing_id' FROM c WHERE s1_id NOT IN (SELECT s1_id FROM o) UNION ALL SELECT 'unexpected_id' FROM (SELECT DISTINCT s1_id FROM o) WHERE s1_id NOT IN (SELECT s1_id FROM c)) SELECT rule, count(*) AS n FROM v GROUP BY rule""",
     "event_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }
+
+RERANK = f"""{RAW}, low AS (SELECT id, source, country, ord, lower(name) AS n, lower(address) AS a FROM raw), prep AS (
+  SELECT *, {without(plain("n"), text.STOP_RERANK)} AS tokens, list_distinct({without(plain("a"), text.STOP_RERANK)}) AS addr_tokens, {first_group("a", address.HOUSE_RERANK, 3)} AS house, {shingle("n")} AS shingle FROM low
+), tok AS (
+  SELECT id, source, country, ord, x.t AS token, x.p AS pos FROM (SELECT *, unnest(list_transform(tokens, lambda t, i: {{'t': t, 'p': i - 1}})) AS x FROM prep)
+)"""
+ADDITIVE = f"""{RERANK}, sh AS (
+  SELECT shingle, list(id ORDER BY ord) AS ids FROM (SELECT * FROM prep WHERE source = 's1' AND shingle <> '' QUALIFY row_number() OVER (PARTITION BY shingle ORDER BY ord) <= 3) GROUP BY shingle
+), tk AS (
+  SELECT token, list(id ORDER BY ord, pos) AS ids FROM (SELECT * FROM tok WHERE source = 's1' QUALIFY row_number() OVER (PARTITION BY token ORDER BY ord, pos) <= 2) GROUP BY token
+), lists AS (
+  SELECT t.id, list(tk.ids ORDER BY t.pos) AS ls FROM tok t JOIN tk USING (token) WHERE t.source <> 's1' GROUP BY t.id
+), found AS (
+  SELECT p.*, list_reduce(coalesce(ls, []), lambda acc, l: CASE WHEN len(acc) >= 5 THEN acc ELSE list_distinct(list_concat(acc, l)) END, coalesce(sh.ids, [])) AS f
+  FROM prep p LEFT JOIN sh ON sh.shingle = p.shingle LEFT JOIN lists ON lists.id = p.id WHERE p.source <> 's1'
+), hs AS (
+  SELECT * FROM prep WHERE source = 's1' AND house <> '' QUALIFY row_number() OVER (PARTITION BY house ORDER BY ord) <= 10
+), add AS (
+  SELECT unnest(f) AS s1_id, id AS target_id FROM found UNION SELECT h.id, t.id FROM found t JOIN hs h ON h.house = t.house AND list_has_any(h.addr_tokens, t.addr_tokens) WHERE len(t.f) < 5 AND t.house <> ''
+)"""
+GATE = f"""{ADDITIVE}, pr AS (
+  SELECT c.s1_id, c.target_id, a.n AS n1, t.n AS n2, a.a AS a1, t.a AS a2, a.house AS h1, t.house AS h2, a.shingle AS g1, t.shingle AS g2 FROM add c JOIN prep a ON a.id = c.s1_id JOIN prep t ON t.id = c.target_id
+), {sets_of("pr", "n1", "n2", "nk")}, {sets_of("nk", "a1", "a2", "ak")}, gate AS (
+  SELECT *, sort_nk AS name_sort, CASE WHEN a1 <> '' AND a2 <> '' THEN set_ak / 100 ELSE 0.5 END AS addr_sim FROM ak
+)"""
+RUN = f"""{SCREEN}, top AS (
+  SELECT s1_id, target_id, 0.65::DOUBLE * name_sim + 0.35::DOUBLE * addr_sim AS score FROM screen
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) AS r FROM top QUALIFY r <= 15
+), run AS (
+  SELECT p.id AS s1_id, coalesce(list(b.target_id ORDER BY r) FILTER (b.score >= 0.75), []) AS m, coalesce(list(b.target_id ORDER BY r) FILTER (b.target_id IS NOT NULL), []) AS c
+  FROM prep p LEFT JOIN best b ON b.s1_id = p.id WHERE p.source = 's1' GROUP BY p.id
+)"""
+
+
+def pruned(sides: str, keep: str) -> str:
+    """The run without the matches that keep rejects, over sides s (anchor) and t (target) by id."""
+    return f"""WITH {RUN}, {sides}, one AS (SELECT s1_id, x.i AS i, x.t AS target_id FROM (SELECT s1_id, unnest(list_transform(m, lambda t, i: {{'t': t, 'i': i}})) AS x FROM run)
+), kept AS (SELECT o.s1_id, list(o.target_id ORDER BY i) AS k FROM one o JOIN side s ON s.id = o.s1_id JOIN side t ON t.id = o.target_id WHERE {keep} GROUP BY o.s1_id)
+SELECT r.s1_id, array_to_string(coalesce(k, []), ',') AS matched_ids, array_to_string(CASE WHEN len(m) > 0 THEN {firsts("list_concat(coalesce(k, []), c)")} ELSE c[1:15] END, ',') AS candidate_ids FROM run r LEFT JOIN kept USING (s1_id)"""
+
+
+REGION = "CASE " + " ".join(f"WHEN contains(lower(name), {quoted(a)}) THEN {quoted(b)}" for a, b in address.REGIONS_US) + " ELSE '' END"
+SORTED = rf"array_to_string(list_sort({toks('lower(name)')}), ' ')"
+NEGATIVE = f"""{RERANK}, {TRUTH}, tt AS (
+  SELECT country, token, id AS target_id, ord FROM (SELECT DISTINCT country, token, id, ord FROM tok WHERE source <> 's1') QUALIFY row_number() OVER (PARTITION BY country, token ORDER BY ord, id) <= 20
+), hh AS (
+  SELECT country, house, id AS target_id, ord FROM prep WHERE source <> 's1' AND house <> '' QUALIFY row_number() OVER (PARTITION BY country, house ORDER BY ord, id) <= 10
+), tr AS (SELECT s1_id, unnest(truth) AS target_id FROM truth), one AS (
+  SELECT a.id AS s1_id, tt.target_id, min({{'p': a.pos, 'o': tt.ord}}) AS bk FROM (SELECT country, id, token, min(pos) AS pos FROM tok WHERE source = 's1' GROUP BY ALL) a JOIN tt USING (country, token)
+  WHERE NOT EXISTS (SELECT 1 FROM tr t WHERE t.s1_id = a.id AND t.target_id = tt.target_id) GROUP BY a.id, tt.target_id
+), four AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY bk, target_id) <= 4), two AS (
+  SELECT a.id AS s1_id, hh.target_id, {{'p': 1073741824, 'o': hh.ord}} AS bk FROM prep a JOIN hh USING (country, house) WHERE a.source = 's1' AND a.house <> ''
+  AND NOT EXISTS (SELECT 1 FROM tr t WHERE t.s1_id = a.id AND t.target_id = hh.target_id) AND NOT EXISTS (SELECT 1 FROM four f WHERE f.s1_id = a.id AND f.target_id = hh.target_id)
+)"""
+
+ORACLE_SQL |= {
+    "block_additive": f"WITH {ADDITIVE} SELECT * FROM add",
+    "gate_rerank": f"""WITH {GATE} SELECT s1_id, target_id, round(name_sort, 6) AS name_sort, round(addr_sim, 6) AS addr_sim, round(0.65::DOUBLE * name_sort / 100 + 0.35::DOUBLE * addr_sim, 6) AS score FROM gate
+WHERE name_sort >= 60 OR (h1 <> '' AND h1 = h2 AND addr_sim >= 0.55) OR addr_sim >= 0.85 OR (g1 <> '' AND g1 = g2 AND name_sort >= 50)""",
+    "run_large": f"WITH {RUN} SELECT s1_id, array_to_string(m, ',') AS matched_ids, array_to_string(c, ',') AS candidate_ids FROM run",
+    "prune_house": pruned(f"side AS (SELECT id, {first_group('address', address.HOUSE_RERANK, 3)} AS h FROM raw)", "NOT (s.h <> '' AND t.h <> '' AND s.h <> t.h AND NOT contains(s.h, t.h) AND NOT contains(t.h, s.h))"),
+    "prune_region": pruned(f"side AS (SELECT id, {REGION} AS g, {SORTED} AS w FROM raw)", f"NOT (s.g <> '' AND t.g <> '' AND s.g <> t.g AND NOT ({ratio('s.w', 't.w')} >= 92))"),
+    "hard_negatives": f"WITH {NEGATIVE} SELECT s1_id, target_id FROM (SELECT s1_id, target_id, bk FROM four UNION ALL SELECT * FROM two) QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY bk, target_id) <= 6",
+}
