@@ -5,24 +5,26 @@ Each distinct line has a SimHash of its words; lines whose SimHashes differ in a
 blocks or, for more lines, in several of more blocks, and are joined on them.  Pairs are verified by edit similarity.  Of each
 connected group the first occurrence, by doc_id and line number, stays; the others go.
 
-Blocks that very many lines share are first joined with their most frequent line; after that only pairs of different groups are
-made, so that a crowd of near copies does not become all its pairs.
+The lines of a block are first joined with its most frequent line; after that only pairs of different groups are made, so that a
+crowd of near copies does not become all its pairs.
 
 Lines without a letter or digit are left alone.  Null and empty texts have nothing to drop.  Texts and lines are taken whole; of a
-line of over two million words the SimHash may carry between bits, which can cost a match, never make one.  Repeated rows of one
+line of over a million words the SimHash may carry between bits, which can cost a match, never make one.  Repeated rows of one
 doc_id and text share their occurrences, so that they keep and drop the same lines.  A null doc_id comes after all others.
 Columns that the operator adds replace columns of the same name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, saved
 
-#: Bits that may differ, edit similarity, members above which a block is crowded, line ids up to which they go to every executor.
-BITS, SIMILAR, CROWDED, BROADCAST_IDS = 3, 0.8, 256, 1_000_000
+#: Bits that may differ, edit similarity, rows of ids up to which they go to every executor.
+BITS, SIMILAR, BROADCAST_IDS = 3, 0.8, 1_000_000
 #: 63 bits are counted three to a long.
 LANE, TERMS = 21, 21
 MASK = 1 | 1 << LANE | 1 << 2 * LANE
@@ -46,15 +48,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Features are the words of four letters or more, or all words of a line that has none: short words are common to all lines of
     a language and would draw their SimHashes together.
     """
-    lines = occurrences(docs).select("row", "doc_id", "line_no", F.xxhash64("normal").alias("id"), F.xxhash64("normal", F.lit(1)).alias("id2"), F.col("normal").rlike("[^ ]{4}").alias("long"), F.explode(F.split("normal", " ")).alias("word"))
-    hashed = lines.where(~F.col("long") | (F.length("word") >= 4)).withColumn("h", F.xxhash64("word")).drop("word", "long")
+    # hashes of a line are computed before its words are dealt out, not for each of them
+    lines = occurrences(docs).select("row", "doc_id", "line_no", F.xxhash64("normal").alias("id"), F.xxhash64("normal", F.lit(1)).alias("id2"), F.col("normal").rlike("[^ ]{4}").alias("long"), F.split("normal", " ").alias("words"))
+    words = lines.select("row", "doc_id", "line_no", "id", "id2", "long", F.explode("words").alias("word"))
+    hashed = words.where(~F.col("long") | (F.length("word") >= 4)).withColumn("h", F.xxhash64("word")).drop("word", "long")
     three = lambda k: (F.shiftrightunsigned("h", 3 * k).bitwiseAND(F.lit(7)) * F.lit(SPREAD)).bitwiseAND(F.lit(MASK))
     sums = hashed.groupBy("row", "doc_id", "line_no", "id", "id2").agg(F.count("*").alias("n"), *(F.sum(three(k)).alias(f"s{k}") for k in range(TERMS)))
-    bits = F.lit(0).cast("long")
-    for k in range(TERMS):
-        for j in range(3):
-            many = F.shiftrightunsigned(f"s{k}", LANE * j).bitwiseAND(F.lit((1 << LANE) - 1)) * 2 > F.col("n")
-            bits = bits.bitwiseOR(F.when(many, F.lit(1 << (3 * k + j))).otherwise(F.lit(0).cast("long")))
+    # a bit is set where twice its count exceeds the number of words: then a lane carries into its top bit, three lanes at a time
+    rest = (F.lit((1 << (LANE - 1)) - 1) - F.least(F.col("n"), F.lit((1 << (LANE - 1)) - 1))) * F.lit(MASK)
+    top = lambda k: F.shiftrightunsigned(F.shiftleft(F.coalesce(f"s{k}", F.lit(0).cast("long")), 1) + F.col("rest"), LANE - 1).bitwiseAND(F.lit(MASK))
+    sums = sums.withColumn("rest", rest).select("doc_id", "line_no", "id", "id2", *(top(k).alias(f"t{k}") for k in range(TERMS)))
+    three = lambda k: F.col(f"t{k}").bitwiseOR(F.shiftright(f"t{k}", LANE - 1)).bitwiseOR(F.shiftright(f"t{k}", 2 * (LANE - 1))).bitwiseAND(F.lit(7))
+    bits = reduce(Column.bitwiseOR, (F.shiftleft(three(k), 3 * k) for k in range(TERMS)))
     return sums.select("doc_id", "line_no", "id", "id2", bits.alias("simhash"))
 
 
@@ -102,17 +107,13 @@ def groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of the line ids that are linked to another; lines has (id, simhash, n, first)."""
     keyed = saved(lines.select("id", "simhash", "n", F.explode(block_keys(F.col("simhash"), lines.count())).alias("key")), "line-blocks")
     near = F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash"))) <= BITS
-    crowds = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max(F.struct("n", "id", "simhash")).alias("top")).where(F.col("members") > CROWDED).select("key", F.col("top.id").alias("id"), F.col("top.simhash").alias("simhash"))
-    crowds = saved(crowds, "line-crowds")
-    links = None
-    placed = keyed.withColumn("component", F.col("id"))
-    if not crowds.isEmpty():
-        star = keyed.alias("y").join(crowds.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & near)
-        links = saved(similar(star.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), lines, docs), "line-links")
-        placed = keyed.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    crowds = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max_by(F.struct("id", "simhash"), F.struct("n", "id")).alias("top")).where("members > 1").select("key", F.col("top.id").alias("id"), F.col("top.simhash").alias("simhash"))
+    star = keyed.alias("y").join(crowds.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & near)
+    links = saved(similar(star.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), lines, docs), "line-links")
+    placed = keyed.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     pairs = placed.alias("x").join(placed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & near)
     rest = similar(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), lines, docs)
-    return components(rest if links is None else links.unionByName(rest))
+    return components(links.unionByName(rest))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -132,6 +133,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs with n_lines, dropped (numbers of the lines that go, from 0) and clean_text (null for a null text)."""
     docs = docs.drop("n_lines", "dropped", "clean_text")
     gone = saved(duplicates(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("dropped")), "dropped-lines").withColumnRenamed("doc_id", "_doc_id")
+    if gone.count() <= BROADCAST_IDS and gone.agg(F.coalesce(F.sum(F.size("dropped")), F.lit(0))).first()[0] <= 4 * BROADCAST_IDS:
+        gone = F.broadcast(gone)
     counted = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))
     out = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i))
