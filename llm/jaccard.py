@@ -34,7 +34,7 @@ from .common import components, saved
 from .wordhash import mix, shingle_sets
 
 #: Shingles that a task packs at once; members above which a list goes through in blocks; members of a block.
-CHUNK, LONG, BLOCK = 1 << 20, 128, 1024
+CHUNK, LONG, BLOCK = 1 << 19, 128, 512
 LOW = np.uint64((1 << 48) - 1)
 PACKED = "chunk long, bucket int, kind int, docs binary, tokens binary"
 SETS = "doc_id long, n_shingles int, key long, key2 long, own int, prefix array<long>, ranges array<int>, tokens binary"
@@ -172,7 +172,8 @@ def _order(bits: int, percent: int):
 
 def shared_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """For each document the size and key of its set; for those that may link, their prefix and shared shingles too."""
-    bits = _bits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # twice as many buckets as partitions: a bucket is held in memory as a whole
+    bits = _bits(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).mapInArrow(_pack(k, bits), PACKED)
     counted = packed.groupBy("bucket").applyInArrow(_count(bits), PACKED)
     return counted.groupBy("chunk").applyInArrow(_order(bits, percent), SETS)
