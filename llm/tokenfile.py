@@ -205,10 +205,12 @@ def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int | None = None) ->
         rank[1:-1][~inside] = PAIRS
         own = rank[1:-1]
         chosen = (own < PAIRS) & (own <= rank[:-2]) & (own <= rank[2:])
-        if ((own[1:] == own[:-1]) & chosen[1:]).any():  # of a pair that overlaps itself, every other place
-            here = np.arange(len(own))
-            begun = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), here, 0))
-            chosen &= (here - begun) % 2 == 0
+        # of a pair that overlaps itself, every other place: the first, third and so on in a row with one rank
+        again = np.flatnonzero((own[1:] == own[:-1]) & (own[1:] < PAIRS)) + 1
+        if len(again):
+            here = np.arange(len(again))
+            begun = np.maximum.accumulate(np.where(np.append(True, np.diff(again) != 1), here, 0))
+            chosen[again[(here - begun) % 2 == 0]] = False
         at = np.flatnonzero(chosen)
         which = own[at]
         times = np.bincount(which, minlength=len(pairs))
