@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, let, saved
 
 #: Bits that may differ, edit similarity, rows of ids up to which they go to every executor.
 BITS, SIMILAR, BROADCAST_IDS = 3, 0.8, 1_000_000
@@ -83,6 +83,27 @@ def block_keys(simhash: Column, lines: int) -> Column:
     return F.array(*keys)
 
 
+def edits(x: Column, y: Column, most: Column) -> Column:
+    """Edit distance up to most, else -1; words that both begin or end with, which don't count, are left out first."""
+
+    def alike(a: Column, b: Column) -> Column:
+        differ = F.array_position(F.zip_with(a, b, lambda p, q: F.coalesce(p == q, F.lit(False))), False).cast("int")
+        return F.when(differ == 0, F.size(a)).otherwise(differ - 1)
+
+    def between(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        shorter = F.least(F.size(a), F.size(b)) - 1
+        first = F.least(alike(a, b), shorter)
+
+        def rest(t: Column) -> Column:
+            middle = lambda w: F.array_join(F.slice(w, t["first"] + 1, F.size(w) - t["first"] - t["last"]), " ")
+            return F.call_function("levenshtein", middle(a), middle(b), most)
+
+        return let(let(first, lambda n: F.struct(n.alias("first"), F.least(alike(F.reverse(a), F.reverse(b)), shorter - n).alias("last"))), rest)
+
+    return let(F.struct(F.split(x, " ").alias("a"), F.split(y, " ").alias("b")), between)
+
+
 def similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of line ids whose normalised lines have an edit similarity of SIMILAR or more.
 
@@ -99,7 +120,7 @@ def similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("normal").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("normal").alias("y")), "b")
     longest, shortest = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
     most = F.floor(longest * (1 - SIMILAR) + 1e-9).cast("int")
-    found = both.where(shortest >= longest - most).withColumn("edits", F.call_function("levenshtein", F.col("x"), F.col("y"), most))
+    found = both.where(shortest >= longest - most).withColumn("edits", edits(F.col("x"), F.col("y"), most))
     return found.where("edits >= 0").select("a", "b")
 
 
