@@ -2,8 +2,10 @@
 
 Lines, parted by ``\\n``, are normalised to lower-case letters and digits between single blanks, and equal ones counted together.
 Each distinct line has a SimHash of its words; lines whose SimHashes differ in at most ``BITS`` bits agree in one of ``BITS`` + 1
-blocks or, for more lines, in several of more blocks, and are joined on them.  Pairs are verified by edit similarity.  Of each
-connected group the first occurrence, by doc_id and line number, stays; the others go.
+blocks or, for more lines, in several of more blocks, and are joined on them.  Lines are also joined on bands of MinHashes of their
+words and, if they are short or have few long words, of their character trigrams; such pairs must agree in ``SAME`` of ``MINS``
+MinHashes.  Pairs are verified by edit similarity.  Of each connected group the first occurrence, by doc_id and line number, stays;
+the others go.
 
 The lines of a block are first joined with its most frequent line; after that only pairs of different groups are made, so that a
 crowd of near copies does not become all its pairs.
@@ -25,6 +27,8 @@ from .common import components, let, saved
 
 #: Bits that may differ, edit similarity, rows of ids up to which they go to every executor.
 BITS, SIMILAR, BROADCAST_IDS = 3, 0.8, 1_000_000
+#: MinHashes of a line, bands of them, MinHashes to agree; letters and long words under which trigrams are taken too.
+MINS, BANDS, SAME, SHORT, FEW_WORDS = 24, 24, 6, 40, 4
 #: 63 bits are counted three to a long.
 LANE, TERMS = 21, 21
 MASK = 1 | 1 << LANE | 1 << 2 * LANE
@@ -43,24 +47,65 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, id, id2, simhash) of each line; id and id2 are hashes of the normalised line.
+    """(doc_id, line_no, id, id2, size, short, simhash, mins) of each line; id and id2 are hashes of the normalised line.
+
+    size is its length, short the line itself if it is short or has few long words, mins are MinHashes of its features.
 
     Features are the words of four letters or more, or all words of a line that has none: short words are common to all lines of
     a language and would draw their SimHashes together.
     """
     # hashes of a line are computed before its words are dealt out, not for each of them
-    lines = occurrences(docs).select("row", "doc_id", "line_no", F.xxhash64("normal").alias("id"), F.xxhash64("normal", F.lit(1)).alias("id2"), F.col("normal").rlike("[^ ]{4}").alias("long"), F.split("normal", " ").alias("words"))
-    words = lines.select("row", "doc_id", "line_no", "id", "id2", "long", F.explode("words").alias("word"))
+    lines = occurrences(docs).select("row", "doc_id", "line_no", F.xxhash64("normal").alias("id"), F.xxhash64("normal", F.lit(1)).alias("id2"), F.length("normal").alias("size"), F.when((F.length("normal") <= SHORT) | ~F.col("normal").rlike("([^ ]{4,} (.* )?){%d}[^ ]{4}" % (FEW_WORDS - 1)), F.col("normal")).alias("short"), F.col("normal").rlike("[^ ]{4}").alias("long"), F.split("normal", " ").alias("words"))
+    words = lines.select("row", "doc_id", "line_no", "id", "id2", "size", "short", "long", F.explode("words").alias("word"))
     hashed = words.where(~F.col("long") | (F.length("word") >= 4)).withColumn("h", F.xxhash64("word")).drop("word", "long")
     three = lambda k: (F.shiftrightunsigned("h", 3 * k).bitwiseAND(F.lit(7)) * F.lit(SPREAD)).bitwiseAND(F.lit(MASK))
-    sums = hashed.groupBy("row", "doc_id", "line_no", "id", "id2").agg(F.count("*").alias("n"), *(F.sum(three(k)).alias(f"s{k}") for k in range(TERMS)))
+    sums = hashed.groupBy("row", "doc_id", "line_no", "id", "id2", "size", "short").agg(F.count("*").alias("n"), *(F.sum(three(k)).alias(f"s{k}") for k in range(TERMS)), *minima())
     # a bit is set where twice its count exceeds the number of words: then a lane carries into its top bit, three lanes at a time
     rest = (F.lit((1 << (LANE - 1)) - 1) - F.least(F.col("n"), F.lit((1 << (LANE - 1)) - 1))) * F.lit(MASK)
     top = lambda k: F.shiftrightunsigned(F.shiftleft(F.coalesce(f"s{k}", F.lit(0).cast("long")), 1) + F.col("rest"), LANE - 1).bitwiseAND(F.lit(MASK))
-    sums = sums.withColumn("rest", rest).select("doc_id", "line_no", "id", "id2", *(top(k).alias(f"t{k}") for k in range(TERMS)))
+    sums = sums.withColumn("rest", rest).select("doc_id", "line_no", "id", "id2", "size", "short", together().alias("mins"), *(top(k).alias(f"t{k}") for k in range(TERMS)))
     three = lambda k: F.col(f"t{k}").bitwiseOR(F.shiftright(f"t{k}", LANE - 1)).bitwiseOR(F.shiftright(f"t{k}", 2 * (LANE - 1))).bitwiseAND(F.lit(7))
     bits = reduce(Column.bitwiseOR, (F.shiftleft(three(k), 3 * k) for k in range(TERMS)))
-    return sums.select("doc_id", "line_no", "id", "id2", bits.alias("simhash"))
+    return sums.select("doc_id", "line_no", "id", "id2", "size", "short", bits.alias("simhash"), "mins")
+
+
+def minima() -> list[Column]:
+    """Aggregates m0, m1, ..: least hashes of the hashes h of features."""
+    return [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(MINS)]
+
+
+def together() -> Column:
+    return F.array(*(F.shiftright(f"m{k}", 32).cast("int") for k in range(MINS)))
+
+
+def trigram_mins(lines: DataFrame) -> DataFrame:
+    """(id, mins) of the character trigrams of short lines, with a blank at either end."""
+    padded = lines.where("short is not null").select("id", F.concat(F.lit(" "), "short", F.lit(" ")).alias("x"))
+    grams = padded.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("x") - 2), lambda i: F.substr("x", i, F.lit(3)))).alias("gram"))
+    return grams.select("id", F.xxhash64("gram").alias("h")).groupBy("id").agg(*minima()).select("id", together().alias("mins"))
+
+
+def band_keys(mins: Column, lines: int, kind: int) -> Column:
+    """Keys of bands of three MinHashes, of four when lines are very many, which else would agree by chance."""
+    steps = (1, 5) if lines <= 1 << 22 else (1, 5, 12)
+    return F.array(*(F.xxhash64(F.lit(kind), F.lit(b), *(mins[(b + step) % MINS] for step in (0, *steps))) for b in range(BANDS)))
+
+
+def sketch(mins: Column) -> list[Column]:
+    """A byte of each MinHash, eight to a long."""
+    byte = lambda k: F.shiftleft(mins[k].bitwiseAND(F.lit(255)).cast("long"), 8 * (k % 8))
+    return [reduce(Column.bitwiseOR, (byte(k) for k in range(first, first + 8))).alias(f"sketch{first // 8}") for first in range(0, MINS, 8)]
+
+
+def alike_mins(x: str, y: str) -> Column:
+    """Number of bytes in which two sketches agree."""
+    total = F.lit(MINS)
+    for i in range(MINS // 8):
+        v = F.col(f"{x}.sketch{i}").bitwiseXOR(F.col(f"{y}.sketch{i}"))
+        for step in (4, 2, 1):
+            v = v.bitwiseOR(F.shiftrightunsigned(v, step))
+        total = total - F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
 
 
 def block_keys(simhash: Column, lines: int) -> Column:
@@ -125,10 +170,19 @@ def similar(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of the line ids that are linked to another; lines has (id, simhash, n, first)."""
-    keyed = saved(lines.select("id", "simhash", "n", F.explode(block_keys(F.col("simhash"), lines.count())).alias("key")), "line-blocks")
-    near = F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash"))) <= BITS
-    crowds = keyed.groupBy("key").agg(F.count("*").alias("members"), F.max_by(F.struct("id", "simhash"), F.struct("n", "id")).alias("top")).where("members > 1").select("key", F.col("top.id").alias("id"), F.col("top.simhash").alias("simhash"))
+    """(node, component) of the line ids that are linked to another; lines has (id, simhash, mins, size, short, n, first)."""
+    count = lines.count()
+    kinds = lines.select("id", "simhash", "n", "size", "mins", F.concat(block_keys(F.col("simhash"), count), band_keys(F.col("mins"), count, 0)).alias("keys"))
+    grams = lines.select("id", "simhash", "n", "size", "short").join(trigram_mins(lines), "id").select("id", "simhash", "n", "size", "mins", band_keys(F.col("mins"), count, 1).alias("keys"))
+    narrow = lambda df: df.select("id", F.explode("keys").alias("key"))
+    # keys of one line alone are out before anything else goes with them
+    shared = saved(narrow(kinds).unionByName(narrow(grams)).groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key"), "line-keys")
+    full = lambda df: df.select("id", "simhash", "n", "size", *sketch(F.col("mins")), F.explode("keys").alias("key"))
+    keyed = saved(full(kinds).unionByName(full(grams)).join(shared, "key", "left_semi"), "line-blocks")
+    fits = 5 * F.abs(F.col("x.size") - F.col("y.size")) <= F.greatest("x.size", "y.size")
+    near = fits & ((F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash"))) <= BITS) | (alike_mins("x", "y") >= SAME))
+    own = ["id", "simhash", "size", *(f"sketch{i}" for i in range(MINS // 8))]
+    crowds = keyed.groupBy("key").agg(F.max_by(F.struct(*own), F.struct("n", "id")).alias("top")).select("key", "top.*")
     star = keyed.alias("y").join(crowds.alias("x"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & near)
     links = saved(similar(star.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), lines, docs), "line-links")
     placed = keyed.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -141,7 +195,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, group) of each line that goes; group is the id of a line in its connected group."""
     found = saved(fingerprints(docs), "lines")
     where = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
-    lines = saved(found.groupBy("id", "id2").agg(F.first("simhash").alias("simhash"), F.count("*").alias("n"), F.min(where).alias("first")), "distinct-lines")
+    lines = saved(found.groupBy("id", "id2").agg(F.first("simhash").alias("simhash"), F.first("mins").alias("mins"), F.first("size").alias("size"), F.first("short").alias("short"), F.count("*").alias("n"), F.min(where).alias("first")), "distinct-lines")
     linked = lines.join(groups(lines, docs), F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "id"))
     linked = saved(linked.select("id", "id2", "n", "first", "group", F.col("component").isNotNull().alias("near")), "line-groups")
     kept = linked.where("near").groupBy("group").agg(F.min("first").alias("kept"))
