@@ -425,3 +425,56 @@ def calibrated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windowed aggregate of the streaming plan over the stored events."""
     return event_windows(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _full_queries() -> None:
+    """The queries with small limits once more, NAME_full, at the operators' production limits over the whole tables; without SQL."""
+
+    def cascaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+        anchors, targets = _large(spark, sf_dir)
+        return features.pair_records(blocking.cascade(anchors, targets).drop("country"), anchors, targets)
+
+    def added(spark: SparkSession, sf_dir: str) -> DataFrame:
+        anchors, targets = _rerank(spark, sf_dir)
+        return features.pair_records(blocking.additive(anchors, targets), anchors, targets)
+
+    def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+        anchors, targets = _large(spark, sf_dir)
+        return scoring.offline_screen(features.pair_records(blocking.union_blocking(anchors, targets, most=500), anchors, targets))
+
+    def large(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        anchors, targets = _large(spark, sf_dir)
+        return linkage.run_large(linkage.large_scored(anchors, targets, blocking.Cascade()), anchors, threshold=0.75), anchors, targets
+
+    def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+        anchors, targets = _rerank(spark, sf_dir)
+        return linkage.run_rerank(linkage.rerank_scored(anchors, targets, blocking.Additive()), anchors)
+
+    def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+        run, anchors, targets = large(spark, sf_dir)
+        here = lambda df: df.withColumns({"country": F.lit("US"), "address": F.col("name")})
+        return resolve.prune_regions(run, here(anchors), here(targets))
+
+    capped = lambda *a: blocking.candidate_pairs(*_parts(*a), most=500).select("s1_id", "target_id", "target_source", F.array_join("blocking_passes", ",").alias("passes"))
+    found: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+        "block_cascade": lambda *a: blocking.cascade(*_large(*a)),
+        "block_additive": lambda *a: blocking.additive(*_rerank(*a)),
+        "block_union": lambda *a: blocking.union_blocking(*_large(*a), most=500),
+        "block_capped": capped,
+        "pair_features_large": lambda *a: _rounded(features.large_features(cascaded(*a)).select("s1_id", "target_id", *features.LARGE)),
+        "pair_features_rerank": lambda *a: _rounded(features.large_features(added(*a), rerank=True).select("s1_id", "target_id", *features.LARGE)),
+        "pair_features_training": lambda *a: _rounded(features.training_features(added(*a)).select("s1_id", "target_id", *features.TRAINING)),
+        "screen_large": lambda *a: _rounded(scoring.screen_large(cascaded(*a)).select("s1_id", "target_id", "name_sim", "addr_sim", "domain", "score")),
+        "gate_rerank": lambda *a: _rounded(scoring.gate_rerank(added(*a)).select("s1_id", "target_id", "name_sort", "addr_sim", "score")),
+        "offline_screen": lambda *a: _rounded(screened(*a).select("s1_id", "target_id", "score", "predicted")),
+        "run_large": lambda *a: _joined(large(*a)[0]),
+        "run_rerank": lambda *a: _joined(reranked(*a)),
+        "rescore_run": lambda *a: _joined(linkage.rescore(large(*a)[0], *_rerank(*a))),
+        "prune_house": lambda *a: _joined(resolve.prune_houses(*large(*a))),
+        "prune_region": lambda *a: _joined(regions(*a)),
+        "hard_negatives": lambda *a: model.hard_negatives(*_rerank(*a), _truth(*a), token_limit=100, house_limit=50),
+    }
+    QUERIES.update({f"{name}_full": run for name, run in found.items()})
+
+
+_full_queries()

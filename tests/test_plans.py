@@ -114,3 +114,11 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM windows").first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
     assert isinstance(spark.sql("SELECT min(start) FROM windows").first()[0], datetime.datetime)
+
+
+def test_production_limits_are_registered(spark):
+    queries, sf = __spark_entry__.queries(), "/root/testdata/sf0.01"
+    few, all_ = (queries[name](spark, sf).select("s1_id", "target_id").distinct() for name in ("block_cascade", "block_cascade_full"))
+    assert few.subtract(all_).isEmpty() and all_.count() > few.count()
+    for name in ("block_additive", "block_union", "block_capped", "run_large", "run_rerank", "rescore_run", "prune_house", "prune_region", "hard_negatives", "offline_screen", "screen_large", "gate_rerank", "pair_features_rerank"):
+        assert queries[f"{name}_full"](spark, SF).columns == queries[name](spark, SF).columns
