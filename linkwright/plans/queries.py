@@ -59,7 +59,13 @@ def _text_query(name: str, make, table: str = "documents") -> None:
         rows = document_records(spark, sf_dir) if table == "documents" else part_records(spark, sf_dir)
         return rows.select("id", make().alias("value"))
 
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        return docs.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("name")).select("id", make().alias("value"))
+
     QUERIES[name] = run
+    if table == "documents":
+        QUERIES[f"{name}_text"] = whole  # the whole text, where document_records has five words of it; without SQL
 
 
 _text_query("normalize_name", lambda: text.normalize_name(F.col("name")))

@@ -122,3 +122,14 @@ def test_production_limits_are_registered(spark):
     assert few.subtract(all_).isEmpty() and all_.count() > few.count()
     for name in ("block_additive", "block_union", "block_capped", "run_large", "run_rerank", "rescore_run", "prune_house", "prune_region", "hard_negatives", "offline_screen", "screen_large", "gate_rerank", "pair_features_rerank"):
         assert queries[f"{name}_full"](spark, SF).columns == queries[name](spark, SF).columns
+
+
+def test_text_queries_take_whole_texts(spark):
+    queries, texts = __spark_entry__.queries(), {f"D{r['doc_id']}": r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries["clean_whitespace_text"](spark, SF).collect():
+        assert (r["value"] or "").split() == (texts[r["id"]] or "").split()
+    for name in ("normalize_name", "ascii_fold", "informative_tokens", "clean_tokens_large", "clean_tokens_plain", "clean_tokens_rerank"):
+        size = [queries[x](spark, SF).selectExpr("sum(length(value))").first()[0] for x in (name, f"{name}_text")]
+        assert size[1] > 20 * size[0]
+    for name in ("longest_token", "name_shingle"):
+        assert queries[f"{name}_text"](spark, SF).count() == len(texts)
