@@ -164,11 +164,24 @@ def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["country", "w"]).select("id1", "id2", "name1", "name2", "address1", "address2").distinct()
 
 
+def _blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents' names that the blocking passes make, without a limit for an anchor."""
+    rows = document_records(spark, sf_dir).where("name <> ''")
+    pairs = blocking.candidate_pairs(*split_sources(prepare.processed(rows)), most=None)
+    name = rows.select("id", text.fold(F.col("name")).alias("name"))
+    a, b = (name.withColumnsRenamed({"id": f"id{i}", "name": f"name{i}"}) for i in (1, 2))
+    return pairs.select(F.col("s1_id").alias("id1"), F.col("target_id").alias("id2")).distinct().join(a, "id1").join(b, "id2")
+
+
 def _kernel_query(name: str, make) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _name_pairs(spark, sf_dir).select("id1", "id2", F.round(make(F.col("name1"), F.col("name2")), 6).alias("value"))
 
+    def full(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _blocked_pairs(spark, sf_dir).select("id1", "id2", F.round(make(F.col("name1"), F.col("name2")), 6).alias("value"))
+
     QUERIES[name] = run
+    QUERIES[f"{name}_full"] = full  # without SQL
 
 
 _kernel_query("sim_levenshtein", kernels.levenshtein_similarity)

@@ -133,3 +133,12 @@ def test_text_queries_take_whole_texts(spark):
         assert size[1] > 20 * size[0]
     for name in ("longest_token", "name_shingle"):
         assert queries[f"{name}_text"](spark, SF).count() == len(texts)
+
+
+def test_kernels_take_pairs_of_blocking(spark):
+    queries, sf = __spark_entry__.queries(), "/root/testdata/sf0.01"
+    few, all_ = (queries[name](spark, sf).count() for name in ("sim_token_jaccard", "sim_token_jaccard_full"))
+    print("pairs", few, all_)
+    assert all_ > few
+    for name in ("levenshtein", "jaro_winkler", "ratio", "token_sort", "token_set", "partial", "charset"):
+        assert queries[f"sim_{name}_full"](spark, sf).columns == ["id1", "id2", "value"]
