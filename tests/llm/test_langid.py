@@ -49,3 +49,9 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = langid.identify(docs.select("doc_id", "text", "lang")).where("held_out and lang is not null").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.97 * len(found) > 0
+
+
+def test_every_letter_has_a_trigram():
+    for text in ("\uff46\uff55\uff4c\uff4c", "\uff76\uff85", "\ufe8d\ufedf", "\U0001e922\U0001e923", "\u3005", "\u6f22", "\ud55c", "a"):
+        assert len(langid.trigram_counts(text)[0]), text
+    assert not len(langid.trigram_counts("12 \u3000\u3001 \U0001f600")[0])
