@@ -295,12 +295,25 @@ def near_copies(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with their own columns, that have the least doc_id of their component; of repeated rows with it, one stays."""
-    found = near_copies(docs, k, percent)
-    gone = saved(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    """The documents, with their own columns, that are first in their component by doc_id (nulls last) and hash of row.
+
+    A row is known by its doc_id and text together, so that other texts under a repeated or null doc_id stand for themselves; of
+    rows equal in both, one stays.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = near_copies(docs.select(key.alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_component"))
+    found = saved(found.where("_key is not null").distinct(), "rows")
+    # only what has a component of several keys can go
+    several = found.groupBy("_component").count().where("count > 1").select("_component")
+    linked = found.join(several, "_component")
+    known = docs.select(key.alias("_key"), "doc_id").distinct().join(linked, "_key")
+    place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc_id"), F.col("_key").alias("key"))
+    first = known.groupBy("_component").agg(F.min(place)["key"].alias("_first"))
+    gone = saved(linked.join(first, "_component").where("_key <> _first").select("_key"), "gone")
+    keyed = docs.withColumn("_key", key)
+    kept = keyed.join(gone, "_key", "left_anti")
+    repeated = kept.groupBy("_key").count().where("count > 1").select("_key")
     if repeated.isEmpty():
-        return kept
-    twice = kept.join(repeated, "doc_id", "left_semi")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(twice.dropDuplicates(["doc_id"]))
+        return kept.select(*docs.columns)
+    twice = kept.join(repeated, "_key", "left_semi")
+    return kept.join(repeated, "_key", "left_anti").unionByName(twice.dropDuplicates(["_key"])).select(*docs.columns)

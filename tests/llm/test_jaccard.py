@@ -80,3 +80,10 @@ def test_one_of_each(spark):
 def test_empty(spark):
     assert jaccard.near_copies(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.near_copies(frame(spark, [(1, None, None, None)])).collect()] == [(1, 0, 1)]
+
+
+def test_one_of_each_goes_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    docs = frame(spark, [(1, a, None, None), (2, a + " end", None, None), (2, b, None, None), (3, c, None, None), (3, d, None, None), (None, a, None, None), (None, d + " end", None, None)])
+    kept = sorted((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs, 4, 85).collect())
+    assert kept == [(1, a), (2, b), (3, c), (3, d)]
