@@ -34,8 +34,8 @@ from .shards import NewFile, commit_manifest, open_store, sharded
 
 #: Ids in a block, first nonterminal, pairs looked at in a round.
 BLOCK, BASE, PAIRS = 1 << 20, 50_258, 512
-#: A pair is frequent with this share of a block's ids, as a power of two, and this many occurrences at least.
-SHARE, LEAST = 11, 16
+#: A pair is frequent with this many occurrences.
+LEAST = 16
 #: Distinct pieces of text that a worker remembers, at about 200 bytes each.
 PIECES = 1_500_000
 MANIFEST = "file string, shard int, documents long, ids long, symbols long, bytes long, base long"
@@ -171,7 +171,7 @@ def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int | None = None) ->
     Each round ranks the most frequent pairs, replaces every occurrence that outranks its neighbours, and keeps the rules that
     were used often enough; it ends when no pair is frequent or all symbols of 16 bits are taken.
     """
-    frequent = frequent or max(LEAST, len(ids) >> SHARE)
+    frequent = frequent or LEAST
     seq = ids.astype(np.uint16)
     begins = np.zeros(len(seq) + 1, bool)
     begins[firsts] = True
@@ -183,10 +183,9 @@ def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int | None = None) ->
         ordered = np.sort(codes[inside])
         if len(ordered) < frequent:
             break
-        # a code that fills `frequent` places is at one of every `frequent`-th place
-        marks = np.unique(ordered[frequent - 1 :: frequent])
-        n = np.searchsorted(ordered, marks, "right") - np.searchsorted(ordered, marks, "left")
-        # such places can miss a run of fewer than 2 * frequent - 1, which is left for being just frequent
+        edges = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        n = np.diff(np.append(edges, len(ordered)))
+        marks, n = ordered[edges[n >= frequent]], n[n >= frequent]
         best = np.lexsort((marks, -n))
         best = best[n[best] >= frequent][: min(PAIRS, (1 << 16) - used)]
         if not len(best):

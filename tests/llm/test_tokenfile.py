@@ -77,3 +77,14 @@ def test_damage_is_noticed(spark):
     open(name, "wb").write(data[:8] + b"XXXX" + data[12:])
     with pytest.raises(Exception, match="not a block"):
         tokenfile.read(spark, path, manifest).count()
+
+
+def test_rules_do_not_depend_on_the_size_of_a_block():
+    import numpy as np
+
+    from llm import tokenfile
+
+    ids = np.random.default_rng(3).integers(0, 50_000, 1 << 17).astype(np.uint16)
+    ids[: 40 * 1000 : 1000], ids[1 : 40 * 1000 : 1000] = 7, 9
+    rules, lengths, seq, _ = tokenfile.repair(ids, np.array([0]))
+    assert [7, 9] in rules.tolist() and len(seq) <= len(ids) - 40
