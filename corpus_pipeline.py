@@ -13,8 +13,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import decontaminate, jaccard, langid, mixing, tokenfile
-from llm.common import new_path
+from linkwright.llm import decontaminate, jaccard, langid, mixing, tokenfile
+from linkwright.llm.common import new_path
 
 #: Workers of earlier stages stay, so that each may remember fewer pieces of text than where the last stage is alone.
 PIECES = 200_000

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word, for Java's, Python's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes up to which a table may go to every executor.
+BROADCAST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,26 +57,31 @@ def forget(df: DataFrame) -> None:
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table, to be broadcast if its rows of about row_bytes come to BROADCAST_BYTES at most."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of undirected edges; component is the least node reachable.
 
     Alternating large-star and small-star steps, each a minimum per node and an equi-join, so that a node with very many
-    neighbours is pre-aggregated and split like any skewed join.  Nulls and loops are dropped; no edges give no rows.
+    neighbours is pre-aggregated and split like any skewed join.  They end when the graph is made of stars: when every node
+    with a smaller neighbour has no other.  Nulls and loops are dropped; no edges give no rows.
     """
-    now = saved(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
-    state = None
+    now = saved(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("m < u and n > 1").isEmpty():
+            break
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = saved(small, "edges")
+        # a node's least neighbour takes over its others, and the node itself
+        small = down.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select(F.col("e.m").alias("u"), F.col("e.u").alias("v"))
+        new = saved(small.where("u <> v").distinct(), "edges")
         forget(now)
-        now, before = new, state
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before or state[0] == 0:
-            break
-    pairs = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        now = new
+    pairs = now.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())

@@ -1,6 +1,6 @@
 import random
 
-from llm import decontaminate
+from linkwright.llm import decontaminate
 
 from .helpers import frame, shingle_set
 

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from llm import jaccard
+from linkwright.llm import jaccard
 
 from .helpers import EN, FR, frame, shingle_set
 

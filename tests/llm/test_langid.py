@@ -1,6 +1,6 @@
 import zlib
 
-from llm import langid
+from linkwright.llm import langid
 
 from .helpers import DE, EN, FR, SF, frame
 

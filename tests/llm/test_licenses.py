@@ -1,5 +1,5 @@
 import pytest
-from llm import licenses
+from linkwright.llm import licenses
 
 from .helpers import frame
 

@@ -1,4 +1,4 @@
-from llm import mixing
+from linkwright.llm import mixing
 
 from .helpers import frame, words
 

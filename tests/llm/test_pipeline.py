@@ -3,7 +3,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from llm import mixing
+from linkwright.llm import mixing
 from tokenizers import Tokenizer
 
 from .helpers import SF, shingle_set

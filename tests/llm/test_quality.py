@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from llm import quality
+from linkwright.llm import quality
 
 from .helpers import EN, SF, frame
 

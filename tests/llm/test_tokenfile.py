@@ -4,8 +4,8 @@ import zlib
 import numpy as np
 import pytest
 import public_tokenizers
-from llm import tokenfile
-from llm.common import new_path
+from linkwright.llm import tokenfile
+from linkwright.llm.common import new_path
 from tokenizers import Tokenizer
 
 from .helpers import DE, EN, FR, frame
@@ -82,7 +82,7 @@ def test_damage_is_noticed(spark):
 def test_rules_do_not_depend_on_the_size_of_a_block():
     import numpy as np
 
-    from llm import tokenfile
+    from linkwright.llm import tokenfile
 
     ids = np.random.default_rng(3).integers(0, 50_000, 1 << 17).astype(np.uint16)
     ids[: 40 * 1000 : 1000], ids[1 : 40 * 1000 : 1000] = 7, 9

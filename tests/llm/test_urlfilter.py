@@ -1,6 +1,6 @@
 import re
 
-from llm import urlfilter
+from linkwright.llm import urlfilter
 
 CASES = [
     ("http://a.example.org/de/1", "org/", "allow"), ("http://example.org/es/1", "example.org/es/", "block"), ("https://x.y.example.org/en/12", "example.org/en/1", "block"),

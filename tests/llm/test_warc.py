@@ -3,8 +3,8 @@ import hashlib
 import os
 
 import pytest
-from llm import warc
-from llm.common import new_path
+from linkwright.llm import warc
+from linkwright.llm.common import new_path
 
 SCHEMA = "page_id long, url string, html string, record_type string"
 
