@@ -1,7 +1,8 @@
 """License scan by canonical digests, with DataFrame functions only.
 
-A text's canonical form drops copyright lines, case and punctuation, and settles equivalent spellings; its MD5 is joined with the
-digests of known license texts.  The same is done for each line, since a license is often stated by a sentence of its own.
+A text's canonical form drops copyright lines, case, punctuation and line ends, and settles equivalent spellings; its MD5 is joined
+with the digests of known license texts, of which there may be any number.  The same is done for each line, since a license is
+often stated by a sentence of its own.  Canonical forms don't depend on where lines are wrapped.
 
 A null or empty text, or one of copyright lines alone, has an empty canonical form, which is no license.  Texts are taken whole.
 Rows that repeat are judged alike, and columns that the operator adds replace columns of the same name.
@@ -12,15 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
-
-#: Known texts, which go to every executor, at most.
-LINE_TEXTS = 2_000
+from .common import hinted, let, saved
 
 # Spellings taken for another, first in words as they stand, then between single blanks.
 SPELLINGS = (("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("whilst", "while"), ("&", " and "), ("non-commercial", "noncommercial"), ("sub-license", "sublicense"), ("merchantibility", "merchantability"))
 PHRASES = ((" non commercial ", " noncommercial "), (" sub license ", " sublicense "), (" per cent ", " percent "))
 
+# How a copyright line begins, after lower-casing, and how a sentence does that has been wrapped before the word.
+STATES = r"^[^\pL\pN]*(copyright|\(c\)|©|all rights reserved)"
+GOES_ON = r"^[^\pL\pN]*copyright[^\pL\pN©(<]*($|(notices?|holders?|owners?|laws?|licen[cs]es?|statements?|and|or|in|to|of|the|is|are|on)([^\pL\pN]|$))"
+
 # Texts of licenses.
 MIT = """MIT License
 
@@ -75,42 +77,40 @@ KNOWN = (
 )
 
 
-def canonical_line(line: Column) -> Column:
-    """Canonical form of a line; empty for copyright lines and lines without a letter or digit."""
-    x = F.lower(line)
+def copyright_line(line: Column) -> Column:
+    """Whether a line states a copyright: it begins with the word, a sign or the reservation, and no sentence goes on from there."""
+    low = F.lower(line)
+    return low.rlike(STATES) & ~low.rlike(GOES_ON)
+
+
+def folded(text: Column) -> Column:
+    """Lower-case words between single blanks, equivalent spellings settled, wherever lines are wrapped."""
+    x = F.lower(text)
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(a), F.lit(b))
+    y = F.concat(F.lit(" "), F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    for a, b in PHRASES:
+        y = F.replace(y, F.lit(a), F.lit(b))
+    return F.trim(y)
 
-    def rest(low: Column) -> Column:
-        y = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-        for a, b in PHRASES:
-            y = F.replace(y, F.lit(a), F.lit(b))
-        return F.when(low.rlike(r"^[^\p{L}\p{N}]*(copyright|\(c\)|©|all rights reserved)"), "").otherwise(F.trim(y))
 
-    return let(x, rest)
+def canonical(text: Column) -> Column:
+    """Canonical form of a whole text; empty if only copyright lines, or no letters and digits, are left."""
+    return folded(F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~copyright_line(x)), " "))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """docs with digest (of the whole text; null if nothing is left), license (of the whole text) and line_licenses (sorted)."""
     docs = docs.drop("digest", "license", "line_licenses")
-    spark = docs.sparkSession
-    table = digests(known if known is not None else known_texts(spark))
-    size = table.count()
-    lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), canonical_line)
-
-    def find(found: Column) -> Column:
-        whole = F.array_join(F.filter(found, lambda x: x != ""), " ")
-        return F.struct(let(whole, lambda w: F.when(w != "", F.md5(w))).alias("digest"), F.array_distinct(F.transform(F.filter(found, lambda x: x != ""), F.md5)).alias("lines"))
-
-    out = docs.withColumn("_found", F.explode(F.array(let(lines, find))))
-    if size > LINE_TEXTS:
-        raise ValueError(f"{size} known texts are too many for the lines; at most {LINE_TEXTS}")
-    by_digest = F.create_map(*(F.lit(x) for row in table.toLocalIterator() for x in row)) if size else F.create_map().cast("map<string, string>")
-    lines_found = F.filter(F.transform("_found.lines", lambda x: F.try_element_at(by_digest, x)), lambda x: x.isNotNull())
-    out = out.withColumn("_lines", F.sort_array(F.array_distinct(lines_found)))
-    table = F.broadcast(table)
-    joined = out.join(table, F.col("_found.digest") == F.col("_digest"), "left")
-    return joined.select(*docs.columns, F.col("_found.digest").alias("digest"), F.col("_license").alias("license"), F.col("_lines").alias("line_licenses"))
+    table = saved(digests(known if known is not None else known_texts(docs.sparkSession)), "license-digests")
+    keys = {"_text": F.xxhash64("text"), "_text2": F.xxhash64("text", F.lit(1))}
+    # the licenses of lines depend on the text alone
+    lines = docs.select(*(c.alias(k) for k, c in keys.items()), F.explode(F.split("text", "\n")).alias("line")).where(~copyright_line(F.col("line")))
+    found = lines.select("_text", "_text2", F.md5(folded(F.col("line"))).alias("_digest")).join(hinted(table, 120), "_digest")
+    found = saved(found.groupBy("_text", "_text2").agg(F.sort_array(F.collect_set("_license")).alias("_lines")), "line-licenses")
+    whole = let(canonical(F.col("text")), lambda w: F.when(w != "", F.md5(w)))
+    out = docs.withColumns(keys | {"_found": whole}).join(hinted(found, 160), ["_text", "_text2"], "left").join(hinted(table, 120), F.col("_found") == F.col("_digest"), "left")
+    return out.select(*docs.columns, F.col("_found").alias("digest"), F.col("_license").alias("license"), F.coalesce("_lines", F.array().cast("array<string>")).alias("line_licenses"))
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
@@ -120,5 +120,5 @@ def known_texts(spark: SparkSession) -> DataFrame:
 
 def digests(known: DataFrame) -> DataFrame:
     """(_digest, _license) of known texts; of equal texts, the license that sorts first."""
-    lines = F.filter(F.transform(F.split("text", "\n"), canonical_line), lambda x: x != "")
-    return known.select(F.md5(F.array_join(lines, " ")).alias("_digest"), F.col("license").alias("_license")).groupBy("_digest").agg(F.min("_license").alias("_license"))
+    forms = known.select(canonical(F.col("text")).alias("form"), "license").where("form <> ''")
+    return forms.select(F.md5("form").alias("_digest"), F.col("license").alias("_license")).groupBy("_digest").agg(F.min("_license").alias("_license"))

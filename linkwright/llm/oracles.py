@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import KNOWN, PHRASES, SPELLINGS
+from .licenses import GOES_ON, KNOWN, PHRASES, SPELLINGS, STATES
 
 
 def _quoted(x: str) -> str:
@@ -15,21 +15,28 @@ def _replaced(x: str, pairs: tuple) -> str:
     return x
 
 
+def _folded(x: str) -> str:
+    return "trim(" + _replaced(f"' ' || regexp_replace({_replaced(f'lower({x})', SPELLINGS)}, '[^\\pL\\pN]+', ' ', 'g') || ' '", PHRASES) + ")"
+
+
 OP3 = rf"""
 WITH known(license, text) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in KNOWN)}),
 texts AS (
   SELECT 1 AS kind, row_number() OVER () AS id, license, text FROM known UNION ALL SELECT 2, doc_id, NULL, text FROM documents
 ), lines AS (
   SELECT kind, id, license, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM texts
-), low AS (
-  SELECT kind, id, license, pos, {_replaced("lower(line)", SPELLINGS)} AS x FROM lines
+), stays AS (
+  SELECT kind, id, license, pos, line FROM lines WHERE NOT (regexp_matches(lower(line), {_quoted(STATES)}) AND NOT regexp_matches(lower(line), {_quoted(GOES_ON)}))
 ), canon AS (
-  SELECT kind, id, license, pos, CASE WHEN regexp_matches(x, '^[^\pL\pN]*(copyright|\(c\)|©|all rights reserved)') THEN ''
-         ELSE trim({_replaced(r"' ' || regexp_replace(x, '[^\pL\pN]+', ' ', 'g') || ' '", PHRASES)}) END AS c FROM low
+  SELECT kind, id, license, pos, {_folded("line")} AS c FROM stays
+), joined AS (
+  SELECT kind, id, license, string_agg(line, ' ' ORDER BY pos) AS text FROM stays GROUP BY kind, id, license
+), forms AS (
+  SELECT t.kind, t.id, t.license, {_folded("j.text")} AS form FROM texts t LEFT JOIN joined j ON t.kind = j.kind AND t.id = j.id
 ), whole AS (
-  SELECT kind, id, license, md5(string_agg(c, ' ' ORDER BY pos) FILTER (c <> '')) AS digest FROM canon GROUP BY kind, id, license
+  SELECT kind, id, license, CASE WHEN form <> '' THEN md5(form) END AS digest FROM forms
 ), digests AS (
-  SELECT digest, min(license) AS license FROM whole WHERE kind = 1 GROUP BY digest
+  SELECT digest, min(license) AS license FROM whole WHERE kind = 1 AND digest IS NOT NULL GROUP BY digest
 ), found AS (
   SELECT id, list_sort(list(DISTINCT d.license)) AS line_licenses FROM canon JOIN digests d ON md5(c) = d.digest WHERE kind = 2 AND c <> '' GROUP BY id
 )
@@ -69,14 +76,17 @@ WITH a AS (
 ), i AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
 ), s AS (
-  SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i WHERE len(w) >= 5)
+  SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM i WHERE len(w) >= 1)
 ), n AS (
   SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id
+), k AS (
+  SELECT DISTINCT k FROM s
 ), t AS (
-  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
+  SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, k WHERE len(w) >= k)
 )
 SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
-FROM t JOIN s USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+FROM t JOIN s USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,5 +1,6 @@
-import pytest
-from linkwright.llm import licenses
+import textwrap
+
+from linkwright.llm import common, licenses
 
 from .helpers import frame
 
@@ -22,7 +23,21 @@ def test_every_known_text_and_empty_tables(spark):
     assert licenses.scan(docs, nothing).where("license is not null or size(line_licenses) > 0").count() == 0
 
 
-def test_too_many_known_texts(spark):
-    many = spark.range(licenses.LINE_TEXTS + 1).selectExpr("'x' as license", "concat('text ', id) as text")
-    with pytest.raises(ValueError):
-        licenses.scan(frame(spark, []), many)
+def test_wrapped_texts(spark):
+    rows = [(name, "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n"))) for name, text in licenses.KNOWN for width in (45, 60, 72, 80)]
+    found = licenses.scan(frame(spark, [(i, t, n, None) for i, (n, t) in enumerate(rows)])).collect()
+    assert [r["doc_id"] for r in found if r["license"] != r["lang"]] == []
+
+
+def test_copyright_lines(spark):
+    lines = {"Copyright (c) 2020 A": True, "  © B": True, "(C) 2019 D": True, "copyright 1999-2001 E": True, "Copyright Some Company": True, "All rights reserved.": True, "copyright notice and this permission notice": False, "COPYRIGHT HOLDERS BE LIABLE": False, "copyright": False, "the copyright": False, "copyright, and so on": False}
+    df = spark.createDataFrame(list(lines.items()), "line string, is boolean")
+    assert df.where(licenses.copyright_line(df["line"]) != df["is"]).collect() == []
+
+
+def test_many_known_texts(spark, monkeypatch):
+    many = spark.range(5000).selectExpr("concat('L', id) as license", "concat('text ', id) as text")
+    for size in (common.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+        found = licenses.scan(frame(spark, [(1, "Text 77", None, None), (None, "a\ntext 4999\nTEXT, 3", None, None)]), many).collect()
+        assert sorted((r["license"] or "", r["line_licenses"]) for r in found) == [("", ["L3", "L4999"]), ("L77", ["L77"])]
