@@ -7,8 +7,9 @@ the least of its bin with a probability near 0.8 or above.  Items have a sketch
 contain them.  A document and an item that agree in a bin are a candidate; candidates are verified by exact containment of their
 word shingles.  Items of fewer than ``SURE`` shingles could be missed and are sought by all shingles instead.
 
-A word is a run outside ``\\x20\\x09-\\x0D``, A-Z lower-cased.  Items and documents of fewer words than a shingle has, null and
-empty ones among them, have no shingles and are neither found nor contaminated.  Texts are taken whole.  Items of equal text are
+A word is a run outside ``\\x20\\x09-\\x0D``, A-Z lower-cased.  An item of fewer words than a shingle has is one shingle as a whole
+and is sought among all runs of as many words.  Items and documents without words, null and empty ones among them, are neither found
+nor contaminated.  Texts are taken whole.  Items of equal text are
 reported each; rows that repeat a doc_id count as one document that has what any of them has.  Columns besides doc_id, item_id
 and text are ignored.
 """
@@ -18,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, saved
+from .common import hinted, let, lower_ascii, saved
 
 #: Words of a shingle; least share of an item's shingles; bins for each shingle; shingles from which the sketch is sure to find an item.
 WORDS, LEAST, BINS_PER_SHINGLE, SURE = 5, 0.8, 4, 8
-#: Largest partition, as a power of two, and rows of item sketches up to which they go to every executor.
-LARGEST, BROADCAST_ROWS = 24, 2_000_000
+#: Largest partition, as a power of two; no text has more words.
+LARGEST = 30
 
 
 def words(text: Column) -> Column:
@@ -68,29 +69,36 @@ def item_sketches(items: DataFrame, k: int, least: float) -> DataFrame:
 def candidates(docs: DataFrame, items: DataFrame, k: int, least: float) -> DataFrame:
     """Distinct (doc_id, item_id) that may be contained; every hash array stays within its row."""
     wanted = saved(item_sketches(items, k, least), "sketches")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", hashes(F.col("text"), k).alias("h"))
     made = let(F.col("h"), lambda h: let(partition_of(F.size(h)), lambda part: F.struct(part.alias("part"), sketch(h, part).alias("sketch"))))
     rows = rows.select("doc_id", F.explode(F.array(made)).alias("made")).select("doc_id", F.col("made.part").alias("part"), F.explode("made.sketch").alias("hash"))
-    found = rows.join(wanted, ["part", "hash"]).select("doc_id", "item_id")
+    found = rows.join(hinted(wanted, 32), ["part", "hash"]).select("doc_id", "item_id")
     short = items.select("item_id", F.array_distinct(hashes(F.col("text"), k)).alias("h")).where(F.size("h").between(1, SURE - 1)).select("item_id", F.explode("h").alias("hash"))
     if not short.isEmpty():
         short = saved(short, "short")
-        if short.count() <= BROADCAST_ROWS:
-            short = F.broadcast(short)
         every = docs.select("doc_id", F.explode(hashes(F.col("text"), k)).alias("hash"))
-        found = found.unionByName(every.join(short, "hash").select("doc_id", "item_id"))
+        found = found.unionByName(every.join(hinted(short, 24), "hash").select("doc_id", "item_id"))
     return found.distinct()
 
 
 def contained(docs: DataFrame, items: DataFrame, k: int = WORDS, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) where at least ``least`` of an item's distinct shingles are in a document."""
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
-    found = saved(candidates(docs, items, k, least), "candidates")
+    out = _verified(docs, items, saved(candidates(docs, items, k, least), "candidates"), k, least)
+    sized = items.withColumn("_size", F.size(F.filter(words(F.col("text")), lambda x: x != "")))
+    for size in sorted(r[0] for r in sized.where(F.col("_size").between(1, k - 1)).select("_size").distinct().collect()):  # k - 1 at most
+        short = sized.where(F.col("_size") == size).drop("_size")
+        wanted = saved(short.select("item_id", F.explode(hashes(F.col("text"), size)).alias("hash")), "short")
+        every = docs.select("doc_id", F.explode(hashes(F.col("text"), size)).alias("hash"))
+        found = saved(every.join(hinted(wanted, 24), "hash").select("doc_id", "item_id").distinct(), "candidates")
+        out = out.unionByName(_verified(docs, short, found, size, least))
+    return out
+
+
+def _verified(docs: DataFrame, items: DataFrame, found: DataFrame, k: int, least: float) -> DataFrame:
     sets = items.select("item_id", shingles(F.col("text"), k).alias("item")).where("item is not null")
-    pairs = found.withColumnRenamed("doc_id", "_doc_id").join(sets, "item_id")
-    texts = docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    # few documents are candidates: they meet the pairs before the items' texts do
+    texts = docs.join(hinted(found.withColumnRenamed("doc_id", "_doc_id"), 32), F.col("doc_id").eqNullSafe(F.col("_doc_id"))).join(sets, "item_id")
     counted = texts.select("doc_id", "item_id", F.size("item").cast("long").alias("n_item"), F.size(F.array_intersect("item", F.coalesce(shingles(F.col("text"), k), F.array().cast("array<string>")))).cast("long").alias("n_shared"))
     out = counted.where(F.col("n_shared") >= F.lit(least) * F.col("n_item"))
     out = out.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
