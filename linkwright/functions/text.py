@@ -25,15 +25,25 @@ CANONICAL = (
     ("enterprises", "enterprise"), ("company", "co"), ("industries", "ind"), ("industry", "ind"), ("services", "service"), ("solutions", "solution"),
 )
 # Words that say nothing, for blocking, for the large runs, and for the reranking runs; corporate words for shingles.
-STOP_BLOCKING = "the and of in at for on a an inc corp llc ltd co company corporation services group holdings solutions enterprises".split()
+STOP_BLOCKING = (
+    "the", "and", "of", "in", "at", "for", "on", "a", "an", "inc", "corp", "llc", "ltd", "co", "company", "corporation", "services", "group",
+    "holdings", "solutions", "enterprises",
+)
 STOP_LARGE = (
-    "the and of in at for on a an to by with inc corp llc ltd co company corporation limited pvt private public plc gmbh international national associates consulting "
-    "center centre trust foundation institute india usa us america global null services solutions trading technologies industries enterprises technology developers "
-    "ventures traders marketing group holdings management tech store sas france eurl des les aux pour dans par sur de du la le un une d l en au cie saint pc lp pllc "
-    "llp brothers consultants consultancy sons"
-).split()
-STOP_RERANK = "the and of in at for on a an to by with inc corp llc ltd co company corporation limited pvt private public plc gmbh null".split()
-CORPORATE = "private limited ltd pvt llp inc corp company co the and of in at for on a an".split()
+    "the", "and", "of", "in", "at", "for", "on", "a", "an", "to", "by", "with", "inc", "corp", "llc", "ltd", "co", "company", "corporation",
+    "limited", "pvt", "private", "public", "plc", "gmbh", "international", "national", "associates", "consulting", "center", "centre", "trust",
+    "foundation", "institute", "india", "usa", "us", "america", "global", "null", "services", "solutions", "trading", "technologies", "industries",
+    "enterprises", "technology", "developers", "ventures", "traders", "marketing", "group", "holdings", "management", "tech", "store", "sas",
+    "france", "eurl", "des", "les", "aux", "pour", "dans", "par", "sur", "de", "du", "la", "le", "un", "une", "d", "l", "en", "au", "cie", "saint",
+    "pc", "lp", "pllc", "llp", "brothers", "consultants", "consultancy", "sons",
+)
+STOP_RERANK = (
+    "the", "and", "of", "in", "at", "for", "on", "a", "an", "to", "by", "with", "inc", "corp", "llc", "ltd", "co", "company", "corporation",
+    "limited", "pvt", "private", "public", "plc", "gmbh", "null",
+)
+CORPORATE = (
+    "private", "limited", "ltd", "pvt", "llp", "inc", "corp", "company", "co", "the", "and", "of", "in", "at", "for", "on", "a", "an",
+)
 
 
 @F.pandas_udf(T.StringType())
