@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import address, text
 from ..functions.translit import transliterate_large, transliterate_rerank
 
+# The countries that are processed.
+COUNTRIES = ("France", "US", "India")
+
 
 def processed(records: DataFrame, name: str = "name", addr: str = "address") -> DataFrame:
     """Normalised name and address, the raw ones kept, and the parts of the normalised address."""
@@ -40,3 +45,13 @@ def prepared_rerank(records: DataFrame, stop_words: bool = True, indic: bool = T
     toks = text.tokens_rerank if stop_words else text.tokens_plain
     c_addr = F.col("clean_addr")
     return out.withColumns({"tokens": toks(F.col("clean_name")), "addr_tokens": F.array_distinct(toks(c_addr)), "house": address.house_number_rerank(c_addr), "postal": address.postal_code(c_addr), "shingle": text.shingle(F.col("clean_name"))})
+
+
+def only_countries(records: DataFrame, countries: Sequence[str] = COUNTRIES) -> DataFrame:
+    """Records of the countries that are processed; others, and those of no country, go."""
+    return records.where(F.col("country").isin(list(countries)))
+
+
+def is_subset(inner: Column, outer: Column) -> Column:
+    """Whether all of one array's elements are in another; so are those of an empty array, and of a null one it is unknown."""
+    return F.size(F.array_except(inner, outer)) == 0

@@ -124,6 +124,8 @@ ORACLE_SQL |= {
     "region_lookup": over(RAW, "CASE " + " ".join(f"WHEN contains(lower(name || ' ' || address), {quoted(a)}) THEN {quoted(b)}" for a, b in address.REGIONS_US) + " ELSE '' END"),
     "transliterate": over(RAW, "'ram hotel ' || name"),
     "record_scan": f"WITH {RAW} SELECT source, country, count(*) AS n FROM raw GROUP BY ALL",
+    "country_whitelist": f"WITH {RAW} SELECT id, country FROM raw WHERE country IN ('Brand#12', 'Brand#3', 'Brand#25')",
+    "token_subset": f"WITH {RAW} SELECT id, list_has_all({plain('address')}, {plain('name')}) AS inside, list_has_all(string_split(name || ' ' || country, ' '), string_split(country, ' ')) AS country_inside FROM raw",
 }
 
 POSTAL = rf"\b({address.POSTAL})\b"

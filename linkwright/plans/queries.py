@@ -19,6 +19,7 @@ from . import linkage
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Limits small enough that every branch of the passes is taken on the test data.
 SMALL = blocking.Cascade(rare=5, both=4, first=3, prefix=40, house=20, keep=4)
+WHITELIST = ("Brand#12", "Brand#3", "Brand#25")
 SMALL_ADDITIVE = blocking.Additive(shingle_index=8, shingle_use=3, token_index=10, token_use=2, house_index=10, enough=5)
 
 
@@ -99,6 +100,19 @@ def record_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_records(spark, sf_dir).groupBy("source", "country").agg(F.count("*").alias("n"))
 
 
+@query
+def country_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of listed countries; brands stand for countries."""
+    return prepare.only_countries(part_records(spark, sf_dir), WHITELIST).select("id", "country")
+
+
+@query
+def token_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a name's words are all in the address."""
+    rows = part_records(spark, sf_dir)
+    return rows.select("id", prepare.is_subset(text.tokens_plain(F.col("name")), text.tokens_plain(F.col("address"))).alias("inside"), prepare.is_subset(F.split("country", " "), F.split(F.concat_ws(" ", "name", "country"), " ")).alias("country_inside"))
+
+
 def _pass_query(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return blocking.block_pass(name, *_parts(spark, sf_dir)).select("s1_id", "target_id", "target_source")
