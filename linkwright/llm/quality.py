@@ -7,13 +7,16 @@ A word is a run outside ``\\x20\\x09-\\x0D``.  Null and empty texts have no word
 ``\\n``; lines without a word are not labelled.  Texts are taken whole.  Rows that repeat are judged alike, and columns that the
 operator adds replace columns of the same name.
 
-The field is trained on a bounded sample of documents with a quality label, whose lines all take the document's label; the sample
-is chosen by a hash of doc_id, so that a run repeats.
+The field is trained on the lines of a bounded sample of documents with a quality label, chosen by a hash of doc_id, so that a run
+repeats; of rows that repeat a doc_id, the least text.  Lines of bad documents are boilerplate, lines of good ones are content but
+for those that also stand in several other good documents, unless those share most of their lines and are thus copies.  Training
+sequences join a piece of a good document and one of a bad one, in either order, so that labels change within them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +24,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import saved
 from .wordhash import shingles, words
 
-#: Documents of each label used for training, about; longest run of lines in a training sequence; steps; step size; L2 penalty.
+#: A line of a good document that stands in so many of the sample is boilerplate.
+RECURRENT = 3
+#: Documents of each label used for training; longest run of lines in a piece of one; steps; step size; L2 penalty.
 FIT_DOCUMENTS, RUN, STEPS, RATE, PENALTY = 600, 64, 150, 0.3, 1e-3
 LEAST_WORDS, LEAST_CONTENT = 50, 0.3
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -83,21 +89,40 @@ def viterbi(scores: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def train(sequences: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features, 2) and steps (2, 2) from sequences of line features with one label each, by gradient ascent."""
+def line_labels(documents: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+    """A label for each line of documents of (quality, line hashes)."""
+    spread = Counter(h for quality, hashes in documents if quality for h in set(hashes.tolist()))
+    out = []
+    for quality, hashes in documents:
+        recurs = np.array([spread[h] >= RECURRENT for h in hashes.tolist()])
+        out.append(np.where(recurs & (2 * recurs.sum() <= len(recurs)), 0, 1) if quality else np.zeros(len(hashes), int))
+    return out
+
+
+def mixed(documents: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences of line features and labels, a piece of a good document and one of a bad one each, from (quality, features, labels)."""
+    good, bad = ([(x[at : at + RUN], y[at : at + RUN]) for q, x, y in documents if q == quality for at in range(0, len(x), RUN)] for quality in (1, 0))
+    if not good or not bad:
+        return []
+    pairs = ((good[i % len(good)], bad[i % len(bad)]) for i in range(max(len(good), len(bad))))
+    return [tuple(np.concatenate(part) for part in zip(*(pair if i % 2 else pair[::-1]), strict=True)) for i, pair in enumerate(pairs)]
+
+
+def train(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features, 2) and steps (2, 2) from sequences of line features and line labels, by gradient ascent."""
     weights, steps = np.zeros((FEATURES, 2)), np.zeros((2, 2))
-    sequences = [(x[at : at + RUN, :9], y) for x, y in sequences for at in range(0, len(x), RUN)]
-    if not sequences or len({y for _, y in sequences}) < 2:
+    sequences = [(x[:, :9], y) for x, y in sequences]
+    if not sequences:
         weights[0, 1] = 1.0  # nothing to tell apart: all lines are content
         return weights, steps
     n, longest = len(sequences), max(len(x) for x, _ in sequences)
     feature = np.zeros((n, longest, 9), np.int64)
     there = np.zeros((n, longest), bool)
-    label = np.array([y for _, y in sequences])
-    for i, (x, _) in enumerate(sequences):
-        feature[i, : len(x)], there[i, : len(x)] = x, True
-    # each class weighs the same
-    weight = np.where(label == 1, 0.5 / (label == 1).sum(), 0.5 / (label == 0).sum())
+    label = np.zeros((n, longest), int)
+    for i, (x, y) in enumerate(sequences):
+        feature[i, : len(x)], there[i, : len(x)], label[i, : len(x)] = x, True, y
+    own = np.stack((there & (label == 0), there & (label == 1)), 2).astype(float)
+    seen = np.einsum("nta,ntb->ab", own[:, :-1], own[:, 1:])
     lines = there.sum()
     for _ in range(STEPS):
         e = weights[feature].sum(2)
@@ -111,16 +136,12 @@ def train(sequences: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarr
             backward[:, t] = np.where(there[:, t + 1, None], new, 0.0)
         z = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
         p = np.exp(np.where(there[:, :, None], forward + backward - z[:, None, None], -np.inf))
-        own = np.zeros_like(p)
-        own[np.arange(n), :, label] = there
-        gap = (own - p) * weight[:, None, None]
+        gap = (own - p) / n
         up = np.zeros_like(weights)
         for k in range(9):
             np.add.at(up, feature[:, :, k].ravel(), gap.reshape(-1, 2))
         pair = np.exp(forward[:, :-1, :, None] + steps + (e[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None]) * there[:, 1:, None, None]
-        seen = np.zeros((n, 2, 2))
-        seen[np.arange(n), label, label] = there[:, 1:].sum(1)
-        turn = ((seen - pair.sum(1)) * weight[:, None, None]).sum(0)
+        turn = (seen - pair.sum((0, 1))) / n
         scale = RATE * n / lines
         weights += scale * (up * 4 - PENALTY * weights)
         steps += scale * (turn - PENALTY * steps)
@@ -170,24 +191,22 @@ def duplicate_lines(text: str) -> int:
 
 
 def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
-    """The field from documents with a quality label; about ``documents`` of each label come to the driver, as line features."""
+    """The field from documents with a quality label; up to ``documents`` of each label come to the driver, as line features."""
     labels = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sizes = {r[0]: r[1] for r in labels.groupBy("quality").count().toLocalIterator()}
-    share = F.least(F.lit(1.0), F.lit(float(documents)) / F.when(F.col("quality") == 1, sizes.get(1, 1)).otherwise(sizes.get(0, 1)))
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    chosen = saved(chosen, "chosen")
-    if chosen.count() > 4 * documents + 100:  # twice what both labels come to
-        raise ValueError("the hash of doc_id does not spread the labelled documents")
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    bad, good = (labels.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents) for q in (0, 1))
+    chosen = saved(bad.unionByName(good), "chosen")
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(int(q), line_features(x).astype(np.int16).tobytes()) for q, t in zip(batch["quality"], batch["text"], strict=True) if (x := [y for y in t.split("\n") if _WORDS(y)])]
-            yield pd.DataFrame(rows, columns=["quality", "features"])
-
-    rows = texts.mapInPandas(measure, "quality int, features binary").toLocalIterator()
-    found = sorted((r["quality"], bytes(r["features"])) for r in rows)
-    return train([(np.frombuffer(x, np.int16).reshape(-1, 11).astype(np.int64), y) for y, x in found])
+            rows = [(int(q), line_features(x).astype(np.int16).tobytes(), np.array([xxh64_intdigest(y) for y in x], np.uint64).tobytes()) for q, t in zip(batch["quality"], batch["text"], strict=True) if (x := [y for y in t.split("\n") if _WORDS(y)])]
+            yield pd.DataFrame(rows, columns=["quality", "features", "hashes"])
+
+    rows = texts.mapInPandas(measure, "quality int, features binary, hashes binary").toLocalIterator()
+    # equal texts count once
+    found = sorted({(r["quality"], bytes(r["features"]), bytes(r["hashes"])) for r in rows})
+    labels_of = line_labels([(q, np.frombuffer(h, np.uint64)) for q, _, h in found])
+    return train(mixed([(q, np.frombuffer(x, np.int16).reshape(-1, 11).astype(np.int64), y) for (q, x, _), y in zip(found, labels_of, strict=True)]))
 
 
 def judge(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:

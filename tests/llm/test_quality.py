@@ -48,6 +48,33 @@ def test_nothing_labelled_or_empty(spark):
     assert quality.judge(df.limit(0), quality.fit(df, none)).count() == 0
 
 
+def test_lines_of_one_text_get_both_labels(spark):
+    """A good document with boilerplate below it, in a corpus whose good documents share a footer."""
+    import numpy as np
+
+    footer = "home about contact privacy terms\nall rights reserved by the owner"
+    own = lambda i: "\n".join(f"{line} no{i}." for line in good(i).split("\n"))
+    docs = [(i, own(i) + "\n" + footer if i % 2 else bad(i), None, None) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    weights, steps = quality.fit(frame(spark, docs), labels)
+
+    def found(text):
+        return quality.viterbi(quality.emissions(weights, quality.line_features(text.split("\n"))), steps).tolist()
+
+    assert found(own(151) + "\n" + footer) == [1] * 6 + [0] * 2
+    assert found(bad(152) + "\n" + own(153)) == [0] * 6 + [1] * 6
+    assert found(own(155) + "\n" + bad(154)) == [1] * 6 + [0] * 6
+    assert np.array_equal(steps, quality.fit(frame(spark, docs + docs[:50]), labels)[1])  # repeated rows change nothing
+
+
+def test_line_labels():
+    import numpy as np
+
+    docs = [(1, [1, 9]), (1, [2, 9]), (1, [3, 9]), (0, [9, 4]), (1, [5, 6, 7]), (1, [5, 6, 7, 8]), (1, [5, 6, 7, 10])]
+    found = quality.line_labels([(q, np.array(h, np.uint64)) for q, h in docs])
+    assert [x.tolist() for x in found] == [[1, 0], [1, 0], [1, 0], [0, 0], [1, 1, 1], [1, 1, 1, 1], [1, 1, 1, 1]]
+
+
 def test_viterbi_finds_the_best_path():
     import itertools
 
