@@ -4,23 +4,36 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows per shard that the cut points are drawn from; they only even out the shards.
-DRAWN = 64
+#: Rows per shard that the cut points are drawn from, which only even out the shards; bytes of a shard beyond which there are more.
+DRAWN, SHARD_BYTES = 64, 256 << 20
 
 
-def cut_points(df: DataFrame, key: str, shards: int) -> list[int]:
-    """Sorted values of an integer key that split the rows into about equal shards, the same in every run."""
-    n = df.select(key).count()
-    if shards < 2 or n < 2:
+def shard_count(df: DataFrame, size: Column) -> int:
+    """Shards for rows of these sizes: a task for each shuffle partition, and more where they would pass SHARD_BYTES."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("n")).first()["n"]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+
+
+def cut_points(df: DataFrame, key: str, shards: int, size: Column | None = None) -> list[int]:
+    """Sorted values of an integer key that split the rows into shards of about equal size, by rows if none is given; the same in every run."""
+    own = df.select(F.col(key).cast("long").alias("key"), (F.lit(1) if size is None else size + 1).cast("double").alias("size"))
+    total = own.agg(F.coalesce(F.sum("size"), F.lit(0.0))).first()[0]
+    if shards < 2 or total < 2:
         return []
-    part = min(1.0, shards * DRAWN / n)
-    chosen = df.select(key).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int(part * (1 << 40)))))
-    drawn = sorted(r[0] for r in chosen.distinct().toLocalIterator())
-    return sorted({drawn[i * len(drawn) // shards] for i in range(1, shards)}) if drawn else []
+    # a row is drawn the likelier the larger it is, and stands for as much as it makes likely
+    share = total / (shards * DRAWN)
+    chosen = own.where(F.col("key").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.col("size") / share * (1 << 40)))
+    sizes = chosen.groupBy("key").agg(F.sum(F.greatest("size", F.lit(share))).cast("long").alias("size"))
+    drawn = np.fromiter(((r["key"], r["size"]) for r in sizes.toLocalIterator()), np.dtype([("key", np.int64), ("size", np.int64)]))
+    drawn.sort(order="key")
+    before = np.cumsum(drawn["size"]) - drawn["size"]
+    first = np.searchsorted(before, drawn["size"].sum() * np.arange(1, shards) / shards)
+    return np.unique(drawn["key"][first[first < len(drawn)]]).tolist()
 
 
 def shard_of(key: Column, cuts: list[int]) -> Column:
@@ -34,9 +47,9 @@ def shard_of(key: Column, cuts: list[int]) -> Column:
 
 
 def sharded(df: DataFrame, key: str, shards: int, *ties: Column | str, cuts: list[int] | None = None) -> DataFrame:
-    """df with a column shard, each shard whole in one partition and sorted by key and ties, nulls first."""
+    """df with a column shard, each shard in a partition of its own and sorted by key and ties, nulls first."""
     out = df.withColumn("shard", shard_of(F.col(key), cut_points(df, key, shards) if cuts is None else cuts))
-    return out.repartition(shards, "shard").sortWithinPartitions("shard", F.col(key).asc_nulls_first(), *ties)
+    return out.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col(key).asc_nulls_first(), *ties)
 
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shards import NewFile, commit_manifest, open_store, sharded
+from .shards import NewFile, commit_manifest, cut_points, open_store, shard_count, sharded
 
 #: Ids in a block, first nonterminal, pairs looked at in a round.
 BLOCK, BASE, PAIRS = 1 << 20, 50_258, 512
@@ -296,7 +296,8 @@ def pack(doc_ids: list[int | None], encoded: list[np.ndarray]) -> tuple[bytes, i
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: int | None = None, block: int = BLOCK, pieces: int = PIECES) -> DataFrame:
     """Files of all docs (doc_id, text) under path; returns the manifest, with the ids before each file."""
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    shards = shards or shard_count(docs, size)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, pieces).encode
@@ -343,7 +344,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("shard", pa.int32()), *((k, pa.int64()) for k in ("documents", "ids", "symbols", "bytes", "base"))]))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    files = commit_manifest(sharded(rows, "doc_id", shards, "text").select("shard", "doc_id", "text").mapInArrow(store, MANIFEST), path)
+    files = commit_manifest(sharded(rows, "doc_id", shards, "text", cuts=cut_points(rows, "doc_id", shards, size)).select("shard", "doc_id", "text").mapInArrow(store, MANIFEST), path)
     # one row per file
     return files.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 

@@ -5,7 +5,8 @@ regenerated headers and digests.  Files are written under temporary names and mo
 same rows give the same bytes, whichever executor writes them and however often.
 
 Of the pages with equal payloads of at least ``least`` bytes, that with the largest page_id is a response and the others revisit
-it; rows that repeat that page_id are responses too.  A null html is an empty payload, a null url a urn of the page; a null
+it; rows that repeat that page_id are responses too.  A null html is an empty payload, a null url a urn of the page, and a
+url that a header can't hold as it is comes back exactly all the same; a null
 page_id sorts first and counts as smaller than all.  Payloads are written whole, whatever their length.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shards import NewFile, commit_manifest, cut_points, open_store, sharded
+from .shards import NewFile, commit_manifest, cut_points, open_store, shard_count, sharded
 
 #: A file is closed at this many compressed bytes; records carry this date, so that bytes don't depend on the clock.
 ROLL_BYTES, DATE = 64 << 20, "2000-01-01T00:00:00Z"
@@ -57,7 +59,7 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     http = _header("HTTP/1.1 200 OK", [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", size)])
     block = http if revisit else http + payload
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _id(page_id, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url, page_id)), ("X-Page-ID", page_id), ("X-Null-URL", 1 if url is None else None),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _id(page_id, digest)), ("WARC-Date", DATE), ("WARC-Target-URI", _uri(url, page_id)), ("X-Page-ID", page_id), ("X-URL", None if url is None else json.dumps(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{_base32(hashlib.sha1(block).digest())}"),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None), ("WARC-Refers-To", _id(refers_to, digest) if revisit else None), ("X-Refers-To-Page-ID", refers_to if revisit else None),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(block)),
@@ -86,7 +88,8 @@ def revisits(rows: DataFrame, least: int) -> DataFrame:
 
 def write(pages: DataFrame, path: str, shards: int | None = None, roll_bytes: int = ROLL_BYTES, least: int = 0) -> DataFrame:
     """Archives of all pages (page_id, url, html) under path; returns the manifest."""
-    shards = shards or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    shards = shards or shard_count(pages, size)
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[dict] = []
@@ -131,7 +134,7 @@ def write(pages: DataFrame, path: str, shards: int | None = None, roll_bytes: in
     # a revisit's mark sorts before its page, so that payloads are shuffled once
     marks = revisits(rows, least).select("page_id", "digest", F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("string").alias("url"), F.lit(0).cast("long").alias("size"), "refers_to")
     both = marks.unionByName(rows.withColumn("refers_to", F.lit(None).cast("long")))
-    dealt = sharded(both, "page_id", shards, F.col("digest"), F.col("payload").isNotNull(), F.col("url"), cuts=cut_points(pages, "page_id", shards))
+    dealt = sharded(both, "page_id", shards, F.col("digest"), F.col("payload").isNotNull(), F.col("url"), cuts=cut_points(pages, "page_id", shards, size))
     return commit_manifest(dealt.select("shard", "page_id", "digest", "payload", "url", "size", "refers_to").mapInArrow(archive, MANIFEST), path)
 
 
@@ -171,7 +174,7 @@ def parse(data: bytes) -> dict | None:
         raise ValueError(f"digests of {fields['WARC-Record-ID']} don't match")
     number = lambda k: int(fields[k]) if k in fields else None
     return {
-        "page_id": number("X-Page-ID"), "url": None if "X-Null-URL" in fields else fields["WARC-Target-URI"], "html": payload.decode() if kind == "response" else None,
+        "page_id": number("X-Page-ID"), "url": json.loads(fields["X-URL"]) if "X-URL" in fields else None, "html": payload.decode() if kind == "response" else None,
         "payload_bytes": len(payload) if kind == "response" else int(_fields(http)["Content-Length"]), "payload_digest": digest, "record_type": kind, "refers_to": number("X-Refers-To-Page-ID"),
     }
 

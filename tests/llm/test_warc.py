@@ -5,6 +5,7 @@ import os
 import pytest
 from linkwright.llm import warc
 from linkwright.llm.common import new_path
+from pyspark.sql import functions as F
 
 SCHEMA = "page_id long, url string, html string, record_type string"
 
@@ -40,6 +41,18 @@ def test_round_trip(spark, least):
     html = {(p, h or "") for p, _, h, _ in rows()}
     assert all((r["page_id"], r["html"]) in html for r in back.where("record_type = 'response'").collect())
     assert back.where("page_id = 1000").first()["url"] is None
+    assert sorted(((r["page_id"], r["url"]) for r in back.collect()), key=repr) == sorted(((p, u) for p, u, _, _ in rows()), key=repr)
+
+
+def test_shards_are_even_in_bytes(spark):
+    from linkwright.llm.shards import cut_points, sharded
+
+    pages = spark.createDataFrame([(i, "x" * (20_000 if i < 100 else 200)) for i in range(2000)], "page_id long, html string")
+    size = F.octet_length("html").cast("long")
+    found = sharded(pages, "page_id", 8, cuts=cut_points(pages, "page_id", 8, size)).withColumn("part", F.spark_partition_id())
+    parts = found.groupBy("part").agg(F.sum(size).alias("n"), F.countDistinct("shard").alias("shards")).collect()
+    assert len(parts) == 8 and all(r["shards"] == 1 for r in parts)
+    assert max(r["n"] for r in parts) <= 1.5 * sum(r["n"] for r in parts) / 8
 
 
 def test_same_bytes_whatever_the_partitioning(spark):
