@@ -7,6 +7,7 @@ records' order, so that a result does not depend on partitioning.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,22 +46,24 @@ PASSES = {"pass_a": keys_a, "pass_b": keys_b, "pass_c": keys_c, "pass_d": keys_d
 MOST_TARGETS = {"pass_d": 200}
 
 
-def block_pass(name: str, anchors: DataFrame, targets: DataFrame) -> DataFrame:
-    """(s1_id, target_id, target_source, target_ord, pass, pos) of one pass."""
+def block_hits(name: str, anchors: DataFrame, targets: DataFrame) -> DataFrame:
+    """(s1_id, target_id, target_source, target_ord, pos, pass) of one pass, a row for each key that a pair shares."""
     left, right = PASSES[name](anchors), PASSES[name](targets)
     if most := MOST_TARGETS.get(name):
         right = right.join(right.groupBy("key").count().where(F.col("count") <= most).select("key"), "key")
     left = left.select("key", F.col("id").alias("s1_id"), "pos")
     right = right.select("key", F.col("id").alias("target_id"), F.col("source").alias("target_source"), F.col("ord").alias("target_ord"))
-    return left.join(right, "key").groupBy("s1_id", "target_id", "target_source", "target_ord").agg(F.min("pos").alias("pos")).withColumn("pass", F.lit(name))
+    return left.join(right, "key").select("s1_id", "target_id", "target_source", "target_ord", "pos", F.lit(name).alias("pass"))
+
+
+def block_pass(name: str, anchors: DataFrame, targets: DataFrame) -> DataFrame:
+    """(s1_id, target_id, target_source, target_ord, pos, pass) of one pass, a row for each pair."""
+    return block_hits(name, anchors, targets).groupBy("s1_id", "target_id", "target_source", "target_ord").agg(F.min("pos").alias("pos"), F.first("pass").alias("pass"))
 
 
 def candidate_pairs(anchors: DataFrame, targets: DataFrame, passes: tuple[str, ...] = tuple(PASSES), most: int | None = 100) -> DataFrame:
     """(s1_id, target_id, target_source, blocking_passes) of all passes; at most so many for an anchor, those of most passes first."""
-    out = None
-    for name in passes:
-        found = block_pass(name, anchors, targets)
-        out = found if out is None else out.unionByName(found)
+    out = reduce(DataFrame.unionByName, (block_hits(name, anchors, targets) for name in passes))
     pairs = out.groupBy(*PAIR, "target_source", "target_ord").agg(F.sort_array(F.collect_set("pass")).alias("blocking_passes"), F.min(F.struct("pass", "pos")).alias("_first"))
     if most is not None:
         order = Window.partitionBy("s1_id").orderBy(F.size("blocking_passes").desc(), "_first", "target_ord")
@@ -109,13 +112,16 @@ def cascade(anchors: DataFrame, targets: DataFrame, limits: Cascade = Cascade())
     """
     post = _tokens(anchors, "tokens", "s1_id")
     wanted = rarest_tokens(targets, posting_sizes(anchors))
-    by_rarest = wanted.withColumnRenamed("rarest", "token").join(post.drop("pos"), ["country", "token"])
-    whole = by_rarest.where(F.col("df") <= limits.rare).select("country", "s1_id", "target_id", "s1_id_ord")
-    common = by_rarest.where(F.col("df") > limits.rare)
-    second = post.select("country", F.col("token").alias("second"), "s1_id").distinct()
-    inter = _first(common.join(second, ["country", "second", "s1_id"]).select("country", "s1_id", "target_id", "s1_id_ord").distinct(), ["country", "target_id"], ["s1_id_ord"], limits.both)
-    alone = common.join(inter.select("country", "target_id").distinct(), ["country", "target_id"], "left_anti")
-    alone = _first(alone, ["country", "target_id"], ["s1_id_ord"], limits.first).select("country", "s1_id", "target_id", "s1_id_ord")
+    few = wanted.where(F.col("df") <= limits.rare).withColumnRenamed("rarest", "token")
+    whole = few.join(post.drop("pos"), ["country", "token"]).select("country", "s1_id", "target_id", "s1_id_ord")
+    # postings are cut before targets meet them: those of a pair of tokens that targets ask for, and those of a token
+    common = wanted.where(F.col("df") > limits.rare)
+    tokens = F.array_distinct("tokens")
+    both = anchors.select("country", F.col("id").alias("s1_id"), F.col("ord").alias("s1_id_ord"), F.explode(tokens).alias("rarest"), tokens.alias("_all")).join(common.select("country", "rarest").distinct(), ["country", "rarest"], "left_semi")
+    both = both.select("country", "rarest", F.explode("_all").alias("second"), "s1_id", "s1_id_ord").join(common.select("country", "rarest", "second").distinct(), ["country", "rarest", "second"], "left_semi")
+    inter = common.join(_first(both, ["country", "rarest", "second"], ["s1_id_ord"], limits.both), ["country", "rarest", "second"]).select("country", "s1_id", "target_id", "s1_id_ord")
+    alone = common.join(inter.select("country", "target_id").distinct(), ["country", "target_id"], "left_anti").withColumnRenamed("rarest", "token")
+    alone = alone.join(_first(post.drop("pos"), ["country", "token"], ["s1_id_ord"], limits.first), ["country", "token"]).select("country", "s1_id", "target_id", "s1_id_ord")
     # read by every later step; kept blocks come back from their lineage if an executor is lost
     hits = whole.unionByName(inter).unionByName(alone).distinct().persist()
     done = hits.select("country", "target_id").distinct()
