@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,16 +46,16 @@ CORPORATE = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def nfkd(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def nfkd(text: pa.Array) -> pa.Array:
     """Compatibility decomposition; marks stay."""
-    return text.map(lambda x: unicodedata.normalize("NFKD", x) if x else x)
+    return pc.utf8_normalize(text, form="NFKD")
 
 
-@F.pandas_udf(T.StringType())
-def fold(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def fold(text: pa.Array) -> pa.Array:
     """Decomposed, what is not ASCII dropped, lower case."""
-    return text.map(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower() if x else x)
+    return pc.ascii_lower(pc.replace_substring_regex(pc.utf8_normalize(text, form="NFKD"), r"[^\x00-\x7F]+", ""))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
