@@ -85,6 +85,8 @@ class Encoder:
     def __init__(self, path: str, most: int = PIECES):
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
+        if (top := max(self.tokenizer.get_vocab().values(), default=0)) >= BASE:
+            raise ValueError(f"{path} has ids up to {top}; blocks hold ids below {BASE}")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -296,6 +298,8 @@ def pack(doc_ids: list[int | None], encoded: list[np.ndarray]) -> tuple[bytes, i
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: int | None = None, block: int = BLOCK, pieces: int = PIECES) -> DataFrame:
     """Files of all docs (doc_id, text) under path; returns the manifest, with the ids before each file."""
+    if not 0 <= end_id < BASE:
+        raise ValueError(f"end id {end_id} is not below {BASE}")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     shards = shards or shard_count(docs, size)
 

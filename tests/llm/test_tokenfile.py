@@ -88,3 +88,13 @@ def test_rules_do_not_depend_on_the_size_of_a_block():
     ids[: 40 * 1000 : 1000], ids[1 : 40 * 1000 : 1000] = 7, 9
     rules, lengths, seq, _ = tokenfile.repair(ids, np.array([0]))
     assert [7, 9] in rules.tolist() and len(seq) <= len(ids) - 40
+
+
+def test_ids_that_a_block_cannot_hold_are_refused(spark, tmp_path):
+    from tokenizers.models import WordLevel
+
+    Tokenizer(WordLevel({"a": 0, "b": tokenfile.BASE}, unk_token="a")).save(str(tmp_path / "wide.json"))
+    with pytest.raises(ValueError, match="blocks hold ids below"):
+        tokenfile.Encoder(str(tmp_path / "wide.json"))
+    with pytest.raises(ValueError, match="end id"):
+        tokenfile.write(frame(spark, rows()), new_path(spark, "ids"), PATH, end_id=tokenfile.BASE)
