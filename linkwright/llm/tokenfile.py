@@ -85,8 +85,12 @@ class Encoder:
     def __init__(self, path: str, most: int = PIECES):
         self.most = most
         self.tokenizer = Tokenizer.from_file(path)
-        if (top := max(self.tokenizer.get_vocab().values(), default=0)) >= BASE:
+        vocabulary = self.tokenizer.get_vocab()
+        if (top := max(vocabulary.values(), default=0)) >= BASE:
             raise ValueError(f"{path} has ids up to {top}; blocks hold ids below {BASE}")
+        # a word with a blank before it begins with a token that does, written so in byte-level vocabularies, and has no other
+        self.blank = np.zeros(BASE, bool)
+        self.blank[[i for x, i in vocabulary.items() if x[:1] == "\u0120"]] = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -106,13 +110,13 @@ class Encoder:
             (words if x[:1] == " " and x[1:].isalpha() else rest).append(i)
         for at in range(0, len(words), 500):
             run = words[at : at + 500]
-            found = self.tokenizer.encode("".join([new[i] for i in run]), add_special_tokens=False)
-            n = np.bincount(found.word_ids, minlength=len(run))
-            if len(n) != len(run) or not n.all():
+            found = np.array(self.tokenizer.encode_batch_fast(["".join([new[i] for i in run])], add_special_tokens=False)[0].ids, np.uint16)
+            begins = np.flatnonzero(self.blank[found])
+            if len(begins) != len(run) or begins[0]:
                 raise ValueError("the tokenizer does not split words as expected")
-            lengths[run] = n
+            lengths[run] = np.diff(np.append(begins, len(found)))
             order.extend(run)
-            ids.append(np.array(found.ids, np.uint16))
+            ids.append(found)
         for i, x in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
             lengths[i] = len(x.ids)
             order.append(i)
@@ -174,46 +178,56 @@ def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int | None = None) ->
     were used often enough; it ends when no pair is frequent or all symbols of 16 bits are taken.
     """
     frequent = frequent or LEAST
-    seq = ids.astype(np.uint16)
-    begins = np.zeros(len(seq) + 1, bool)
-    begins[firsts] = True
+    seq, firsts = ids.astype(np.uint16), np.unique(firsts[firsts < len(ids)])
     rules, lengths = [], np.ones(1 << 16, np.uint32)
     used = BASE
     while len(seq) > 1 and used < 1 << 16:
-        inside = ~begins[1 : len(seq)]
+        # no pair joins two documents: the code of such a place is above all others, and sorted off
+        across = firsts[1:] - 1
         codes = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        ordered = np.sort(codes[inside])
-        if len(ordered) < frequent:
+        codes[across] = 0xFFFFFFFF
+        codes.sort()
+        codes = codes[: len(codes) - len(across)]
+        if len(codes) < frequent:
             break
-        edges = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        n = np.diff(np.append(edges, len(ordered)))
-        marks, n = ordered[edges[n >= frequent]], n[n >= frequent]
-        best = np.lexsort((marks, -n))
-        best = best[n[best] >= frequent][: min(PAIRS, (1 << 16) - used)]
-        if not len(best):
+        # equal codes stand together, so that a frequent one stands again frequent - 1 places on
+        marks = codes[: len(codes) - frequent + 1]
+        marks = marks[marks == codes[frequent - 1 :]]
+        if not len(marks):
             break
+        marks = marks[np.append(True, marks[1:] != marks[:-1])]
+        n = np.searchsorted(codes, marks, "right") - np.searchsorted(codes, marks)
+        best = np.lexsort((marks, -n))[: min(PAIRS, (1 << 16) - used)]
         pairs = marks[best]
         left, right = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
         rows, row_of = np.unique(left, return_inverse=True)
         columns, column_of = np.unique(right, return_inverse=True)
         row_at, column_at = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        row_at[rows], column_at[columns] = np.arange(1, len(rows) + 1), np.arange(1, len(columns) + 1)
-        width = len(columns) + 1
-        table = np.full((len(rows) + 1) * width, PAIRS, np.int16)
-        table[(row_of + 1) * width + column_of + 1] = np.arange(len(pairs))
-        rank = np.full(len(seq) + 1, PAIRS, np.int16)  # one place before the first and one behind the last pair
-        rank[1:-1] = table[row_at[seq[:-1]] * np.int32(width) + column_at[seq[1:]]]
-        rank[1:-1][~inside] = PAIRS
-        own = rank[1:-1]
-        chosen = (own < PAIRS) & (own <= rank[:-2]) & (own <= rank[2:])
+        row_at[rows], column_at[columns] = np.arange(len(rows)), np.arange(len(columns))
+        table = np.full(len(rows) * len(columns), PAIRS, np.int16)
+        table[row_of * len(columns) + column_of] = np.arange(len(pairs))
+        # places whose symbols are the left and the right of some pair, then those where they are of the same
+        side = np.zeros(1 << 16, np.uint8)
+        side[columns] = 1
+        side[rows] |= 2
+        sides = side.take(seq)
+        may = ((sides[:-1] >> 1) & sides[1:]).view(bool)
+        may[across] = False
+        at = np.flatnonzero(may)
+        own = table[row_at[seq[at]] * np.int32(len(columns)) + column_at[seq[at + 1]]]
+        at, own = at[own < PAIRS], own[own < PAIRS]
+        # a place gives way to a neighbour of a better rank
+        touch = at[1:] == at[:-1] + 1
+        chosen = np.ones(len(at), bool)
+        chosen[1:][touch & (own[1:] > own[:-1])] = False
+        chosen[:-1][touch & (own[:-1] > own[1:])] = False
         # of a pair that overlaps itself, every other place: the first, third and so on in a row with one rank
-        again = np.flatnonzero((own[1:] == own[:-1]) & (own[1:] < PAIRS)) + 1
+        again = np.flatnonzero(touch & (own[1:] == own[:-1])) + 1
         if len(again):
             here = np.arange(len(again))
             begun = np.maximum.accumulate(np.where(np.append(True, np.diff(again) != 1), here, 0))
             chosen[again[(here - begun) % 2 == 0]] = False
-        at = np.flatnonzero(chosen)
-        which = own[at]
+        at, which = at[chosen], own[chosen]
         times = np.bincount(which, minlength=len(pairs))
         good = np.flatnonzero(times >= frequent // 2)
         if not len(good):
@@ -226,12 +240,12 @@ def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int | None = None) ->
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
-        begins = np.append(begins[:-1][stay], True)
+        firsts = firsts - np.searchsorted(at, firsts)
         rules.append(np.stack([left[good], right[good]], 1).astype(np.uint16))
         lengths[used : used + len(good)] = lengths[left[good]] + lengths[right[good]]
         used += len(good)
     rule = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)
-    return rule, lengths[BASE:used], seq, np.flatnonzero(begins[: len(seq)])
+    return rule, lengths[BASE:used], seq, firsts
 
 
 def expansions(rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
