@@ -41,6 +41,8 @@ PIECES = 1_500_000
 MANIFEST = "file string, shard int, documents long, ids long, symbols long, bytes long, base long"
 #: Fixed value: how the byte-level tokenizer splits text before it merges; each piece is encoded by itself.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What a piece may begin with to be encoded together with others.
+BEGINS, BLANK = " \n", re.compile(r"\s")
 
 
 class Numbered(dict):
@@ -88,9 +90,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         if (top := max(vocabulary.values(), default=0)) >= BASE:
             raise ValueError(f"{path} has ids up to {top}; blocks hold ids below {BASE}")
-        # a word with a blank before it begins with a token that does, written so in byte-level vocabularies, and has no other
-        self.blank = np.zeros(BASE, bool)
-        self.blank[[i for x, i in vocabulary.items() if x[:1] == "\u0120"]] = True
+        # blank and line end, as byte-level vocabularies write them: a piece that begins with one has no other token that does
+        self.begins = np.zeros(BASE, bool)
+        self.begins[[i for x, i in vocabulary.items() if x[:1] in ("\u0120", "\u010a")]] = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -102,16 +104,16 @@ class Encoder:
         self.units, self.pieces = Table(), Table()
 
     def _learn(self, table: Table, new: list[str]) -> None:
-        """Ids of new pieces; words with a blank before them are encoded many at a time, as the tokenizer parts them again."""
+        """Ids of new pieces; those that only begin with a blank or line end are encoded many at a time, as the tokenizer parts them again."""
         lengths = np.zeros(len(new), np.int64)
         order, ids, rest = [], [], []
-        words = []
+        words, inner = [], BLANK.search
         for i, x in enumerate(new):
-            (words if x[:1] == " " and x[1:].isalpha() else rest).append(i)
+            (words if len(x) > 1 and x[0] in BEGINS and not inner(x, 1) else rest).append(i)
         for at in range(0, len(words), 500):
             run = words[at : at + 500]
             found = np.array(self.tokenizer.encode_batch_fast(["".join([new[i] for i in run])], add_special_tokens=False)[0].ids, np.uint16)
-            begins = np.flatnonzero(self.blank[found])
+            begins = np.flatnonzero(self.begins[found])
             if len(begins) != len(run) or begins[0]:
                 raise ValueError("the tokenizer does not split words as expected")
             lengths[run] = np.diff(np.append(begins, len(found)))
@@ -177,26 +179,28 @@ def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int | None = None) ->
     Each round ranks the most frequent pairs, replaces every occurrence that outranks its neighbours, and keeps the rules that
     were used often enough; it ends when no pair is frequent or all symbols of 16 bits are taken.
     """
-    frequent = frequent or LEAST
+    frequent = max(frequent or LEAST, 2)
     seq, firsts = ids.astype(np.uint16), np.unique(firsts[firsts < len(ids)])
     rules, lengths = [], np.ones(1 << 16, np.uint32)
     used = BASE
     while len(seq) > 1 and used < 1 << 16:
         # no pair joins two documents: the code of such a place is above all others, and sorted off
         across = firsts[1:] - 1
-        codes = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
+        codes = seq[:-1].astype(np.uint32)
+        codes <<= np.uint32(16)
+        codes |= seq[1:]
         codes[across] = 0xFFFFFFFF
         codes.sort()
         codes = codes[: len(codes) - len(across)]
         if len(codes) < frequent:
             break
-        # equal codes stand together, so that a frequent one stands again frequent - 1 places on
-        marks = codes[: len(codes) - frequent + 1]
-        marks = marks[marks == codes[frequent - 1 :]]
-        if not len(marks):
+        # equal codes stand together, so that a frequent one stands again frequent - 1 places on, in a run for each
+        again = np.zeros(len(codes) - frequent + 3, bool)
+        again[1:-1] = codes[: len(codes) - frequent + 1] == codes[frequent - 1 :]
+        edges = np.flatnonzero(again[1:] != again[:-1])
+        if not len(edges):
             break
-        marks = marks[np.append(True, marks[1:] != marks[:-1])]
-        n = np.searchsorted(codes, marks, "right") - np.searchsorted(codes, marks)
+        marks, n = codes[edges[::2]], edges[1::2] - edges[::2] + frequent - 1
         best = np.lexsort((marks, -n))[: min(PAIRS, (1 << 16) - used)]
         pairs = marks[best]
         left, right = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
@@ -215,7 +219,8 @@ def repair(ids: np.ndarray, firsts: np.ndarray, frequent: int | None = None) ->
         may[across] = False
         at = np.flatnonzero(may)
         own = table[row_at[seq[at]] * np.int32(len(columns)) + column_at[seq[at + 1]]]
-        at, own = at[own < PAIRS], own[own < PAIRS]
+        hit = np.flatnonzero(own < PAIRS)
+        at, own = at.take(hit), own.take(hit)
         # a place gives way to a neighbour of a better rank
         touch = at[1:] == at[:-1] + 1
         chosen = np.ones(len(at), bool)

@@ -98,3 +98,28 @@ def test_ids_that_a_block_cannot_hold_are_refused(spark, tmp_path):
         tokenfile.Encoder(str(tmp_path / "wide.json"))
     with pytest.raises(ValueError, match="end id"):
         tokenfile.write(frame(spark, rows()), new_path(spark, "ids"), PATH, end_id=tokenfile.BASE)
+
+
+def test_pieces_encoded_together_are_as_encoded_alone():
+    r = random.Random(5)
+    letters = " \n,.'sSdllvet1é9!_-$#<|>¡ÀßŁ½²ªº×÷ab"
+    e, tokenizer = tokenfile.Encoder(PATH, 5000), Tokenizer.from_file(PATH)
+    for _ in range(40):
+        texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(32)]
+        texts += [" ".join("".join(r.choice(letters[2:]) for _ in range(r.randint(1, 8))) for _ in range(r.randint(1, 30))) for _ in range(32)]
+        assert [x.tolist() for x in e.encode(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@pytest.mark.parametrize("frequent", [2, 3, 16])
+def test_grammar_expands_to_ids_and_documents(frequent):
+    rng = np.random.default_rng(frequent)
+    for _ in range(40):
+        size = int(rng.integers(1, 2000))
+        ids = rng.integers(0, rng.integers(2, 40), size).astype(np.uint16)
+        firsts = np.unique(np.append(0, rng.integers(0, size, rng.integers(0, 40))))
+        rules, lengths, symbols, begins = tokenfile.repair(ids, firsts, frequent)
+        flat, start, length = tokenfile.expansions(rules, lengths)
+        parts = [flat[start[x] : start[x] + length[x]] for x in symbols]
+        assert (np.concatenate(parts) == ids).all()
+        ends = np.append(0, np.cumsum([len(x) for x in parts]))
+        assert (ends[begins] == firsts).all()
