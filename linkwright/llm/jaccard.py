@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, give_back, saved, thrifty
 from .wordhash import mix, shingle_sets
 
 #: Shingles that a task packs at once; members above which a list goes through in blocks; members of a block.
@@ -94,6 +94,8 @@ def _pack(k: int, bits: int):
                     ids, sets, size = [], [], 0
         if ids:
             yield emit(chunk, ids, sets)
+        ids, sets = [], []
+        give_back()
 
     return pack
 
@@ -127,7 +129,7 @@ def _count(bits: int):
                 at = end
         return pa.Table.from_batches([_batch(list(zip(*out, strict=True)), _PACKED)])
 
-    return count
+    return thrifty(count)
 
 
 def _order(bits: int, percent: int):
@@ -167,7 +169,7 @@ def _order(bits: int, percent: int):
         ids = [None if missing else i for i, missing in zip(about["id"].tolist(), about["null"].tolist(), strict=True)]
         return pa.Table.from_batches([_batch([ids, about["n"], about["key"].view(np.int64), about["key2"].view(np.int64), own, prefix, ranges, blobs], _SETS)])
 
-    return order
+    return thrifty(order)
 
 
 def shared_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:

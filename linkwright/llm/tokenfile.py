@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import give_back
 from .shards import NewFile, commit_manifest, cut_points, open_store, shard_count, sharded
 
 #: Ids in a block, first nonterminal, pairs looked at in a round.
@@ -323,6 +324,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
     shards = shards or shard_count(docs, size)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode = encoder(tokenizer, pieces).encode
         end = np.array([end_id], np.uint16)
         done: list[dict] = []
